@@ -9,6 +9,7 @@ from .chat import BOS, EOS, MARKS, format_chats, loss_text
 from .common import LOWER, UPPER, table
 from .exact_dedup import content_sort
 from .packing import pack
+from .secrets import BASE, MORE, find_secrets, span_list
 from .sharding import shard
 
 
@@ -36,6 +37,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = span_list(F.filter("secret_spans", lambda s: s["rank"] < len(BASE)))
+    return out.select("doc_id", *(count(r.kind) for r in BASE), F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_list(F.col("secret_spans")).alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -44,12 +52,34 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op8_secret_scans, op9_exact_dedup, op10_packing)}
 
 _MARK_CHARS = " ".join(f"when '{r}' then {len(m)}" for r, m in MARKS.items())
 _ESCAPE = r"regexp_replace(text, '([<\[])(\\*)(/?s>|<SYS>>|/?INST\]|/?ROLE\])', '\1\\\2\3', 'g')"
 
+
+
+def _secret_sql() -> str:
+    parts = []
+    for k, r in enumerate(BASE + MORE):
+        p = r.pattern.replace("'", "''")
+        ok = f"length(regexp_extract(m[i], '{p}', {r.group})) >= {r.least}" if r.group else "true"
+        parts.append(f"""
+select doc_id, {k} as rank, '{r.kind}' as kind, i, {ok} as ok, length(m[i]) as n,
+  list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as start
+from (select doc_id, m, p, unnest(range(1, len(m) + 1)) as i from (
+  select doc_id, regexp_extract_all(text, '{p}') as m, string_split_regex(text, '{p}') as p from documents where regexp_matches(text, '{p}')))""")
+    return f"""
+with found as ({" union all ".join(parts)}),
+spans as (select doc_id, rank, kind, start, kind || ':' || cast(start as bigint) || ':' || cast(start + n as bigint) as span from found where ok),
+by_doc as (select doc_id, {", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in BASE)},
+  string_agg(span, ',' order by start, rank) filter (where rank < {len(BASE)}) as base, string_agg(span, ',' order by start, rank) as spans from spans group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents d left join by_doc b on d.doc_id = b.doc_id"""
+
+
 ORACLE_SQL = {
+    "op8_secret_scans": _secret_sql(),
     "op1_chat_formatting": f"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
