@@ -9,6 +9,7 @@ from .chat import BOS, EOS, MARKS, format_chats, loss_text
 from .common import LOWER, UPPER, table
 from .exact_dedup import content_sort
 from .packing import pack
+from .quality import quality_rules
 from .secrets import BASE, MORE, find_secrets, span_list
 from .sharding import shard
 
@@ -37,6 +38,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -52,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op8_secret_scans, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op5_quality_rules, op8_secret_scans, op9_exact_dedup, op10_packing)}
 
 _MARK_CHARS = " ".join(f"when '{r}' then {len(m)}" for r, m in MARKS.items())
 _ESCAPE = r"regexp_replace(text, '([<\[])(\\*)(/?s>|<SYS>>|/?INST\]|/?ROLE\])', '\1\\\2\3', 'g')"
