@@ -12,6 +12,7 @@ from .packing import pack
 from .quality import quality_rules
 from .secrets import BASE, MORE, find_secrets, span_list
 from .sharding import shard
+from .toxicity import score_toxicity
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -43,6 +44,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -58,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op5_quality_rules, op8_secret_scans, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_sharding, op5_quality_rules, op7_toxicity, op8_secret_scans, op9_exact_dedup, op10_packing)}
 
 _MARK_CHARS = " ".join(f"when '{r}' then {len(m)}" for r, m in MARKS.items())
 _ESCAPE = r"regexp_replace(text, '([<\[])(\\*)(/?s>|<SYS>>|/?INST\]|/?ROLE\])', '\1\\\2\3', 'g')"
