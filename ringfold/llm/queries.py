@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import BOS, EOS, MARKS, format_chats, loss_text
 from .common import LOWER, UPPER, table
 from .exact_dedup import content_sort
+from .jaccard import jaccard_join
 from .lm import score_texts
 from .packing import pack
 from .quality import quality_rules
@@ -39,6 +40,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -68,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op4_sharding, op5_quality_rules, op7_toxicity, op8_secret_scans, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op3_ngram_jaccard_join, op4_sharding, op5_quality_rules, op7_toxicity, op8_secret_scans, op9_exact_dedup, op10_packing)}
 
 _MARK_CHARS = " ".join(f"when '{r}' then {len(m)}" for r, m in MARKS.items())
 _ESCAPE = r"regexp_replace(text, '([<\[])(\\*)(/?s>|<SYS>>|/?INST\]|/?ROLE\])', '\1\\\2\3', 'g')"
