@@ -7,8 +7,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lowered, remainder, text_of
 
@@ -170,21 +171,40 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order:
     return model, calibrate([(r["ratio"], r["toxic"]) for r in values])
 
 
-def _ratios(rows: DataFrame, model: Model, order: int, strongest: int) -> DataFrame:
-    """Adds ``ratio`` to rows; the text stays where it is."""
+def _ratios(rows: DataFrame, model: Model, order: int, strongest: int, carry: bool = False) -> DataFrame:
+    """Adds ``ratio`` to rows, and leaves out the text unless it is to be carried along."""
     sent = rows.sparkSession.sparkContext.broadcast((model.ratio, model.backoff))
-    names = [c for c in rows.columns if c != "text"]
+    names = [c for c in rows.columns if carry or c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model)
         own.ratio, own.backoff = sent.value
         read = Reader(own, order, strongest)
         for b in batches:
-            at = b.schema.get_field_index("text")
-            ratio = pa.array([read(t.as_py()) for t in b.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), ratio], names=[*names, "ratio"])
+            at = b.schema.get_field_index
+            ratio = pa.array([read(t.as_py()) for t in b.column(at("text"))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(at(c)) for c in names), ratio], names=[*names, "ratio"])
 
-    return rows.mapInArrow(score, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", ratio double")
+    return rows.mapInArrow(score, T.StructType([*(rows.schema[c] for c in names), T.StructField("ratio", T.DoubleType())]))
+
+
+def _score(ratio: Column, cut: float, reject: float) -> Column:
+    return 1 / (1 + F.exp(F.lit(-STEEPNESS) * (ratio - F.lit(cut)) - F.lit(math.log(reject / (1 - reject)))))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order: int = ORDER, strongest: int = STRONGEST, reject: float = REJECT) -> DataFrame:
+    """The documents (doc_id, text and any other columns) whose score is below ``reject``; see score_toxicity.
+    No shuffle: texts stay where they are read. A column named ratio is replaced for the while."""
+    model, cut = learn(docs.select("doc_id", text_of("text").alias("text")), trained(labels), per_class, order, strongest)
+    names = [c for c in docs.columns if c != "ratio"]
+    own = docs.withColumnRenamed("ratio", "_ratio") if "ratio" in docs.columns else docs
+    out = _ratios(own, model, order, strongest, carry=True).where(_score(F.col("ratio"), cut, reject) < reject).drop("ratio")
+    return out.withColumnRenamed("_ratio", "ratio").select(*docs.columns) if len(names) < len(docs.columns) else out
+
+
+def trained(labels: DataFrame) -> DataFrame:
+    """The labels that may be learnt from."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(remainder("doc_id", 3) != 1)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, order: int = ORDER, strongest: int = STRONGEST, reject: float = REJECT) -> DataFrame:
@@ -193,15 +213,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Two Kneser-Ney models of byte n-grams, of toxic and of ordinary texts, give each expression (a
     lower-cased word) a difference of log-likelihoods, normalised by its length. A document counts by the
     mean of its ``strongest`` expressions' differences: a mean over a long text would hide the few that are
-    toxic. A logistic curve, which passes ``reject`` where the classes part best, gives the score. Labels are learnt from rows whose crc32(id)
-    modulo 3 isn't 1; the others are held out.
+    toxic. A logistic curve, which passes ``reject`` where the classes part best, gives the score. Labels are
+    learnt from rows whose crc32(id) modulo 3 isn't 1; the others are held out.
 
     Null or empty texts get the score of ratio 0; null ids are never learnt from but scored; rows that
     repeat a label count once (toxic wins a tie); repeated documents are scored each; without labels of both
     classes the cut is a fixed value; extra columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    train = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(remainder("doc_id", 3) != 1)
-    model, cut = learn(rows, train, per_class, order, strongest)
-    out = _ratios(rows, model, order, strongest).withColumn("score", 1 / (1 + F.exp(F.lit(-STEEPNESS) * (F.col("ratio") - F.lit(cut)) - F.lit(math.log(reject / (1 - reject))))))
+    model, cut = learn(rows, trained(labels), per_class, order, strongest)
+    out = _ratios(rows, model, order, strongest).withColumn("score", _score(F.col("ratio"), cut, reject))
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"), "ratio")
