@@ -11,6 +11,7 @@ from .exact_dedup import content_sort
 from .jaccard import jaccard_join
 from .lm import score_texts
 from .packing import pack
+from .pieces import encode_texts
 from .quality import quality_rules
 from .secrets import BASE, MORE, find_secrets, span_list
 from .sharding import shard
@@ -54,6 +55,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,7 +78,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op3_ngram_jaccard_join, op4_sharding, op5_quality_rules, op7_toxicity, op8_secret_scans, op9_exact_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op3_ngram_jaccard_join, op4_sharding, op5_quality_rules, op6_sentencepiece, op7_toxicity, op8_secret_scans, op9_exact_dedup, op10_packing)}
 
 _MARK_CHARS = " ".join(f"when '{r}' then {len(m)}" for r, m in MARKS.items())
 _ESCAPE = r"regexp_replace(text, '([<\[])(\\*)(/?s>|<SYS>>|/?INST\]|/?ROLE\])', '\1\\\2\3', 'g')"
