@@ -407,3 +407,40 @@ def test_sum_of_squares():
 def test_queries_are_registered():
     assert [k for k in queries.QUERIES if k.startswith("op")] == list(queries.QUERIES)
     json.dumps(queries.ORACLE_SQL)
+
+
+# pieces
+
+
+def test_pieces(docs, none):
+    from ringfold.llm import pieces
+
+    path = queries.public_tokenizer("piece_bpe_32k.model")
+    got = pieces.encode_texts(docs, path)
+    assert got.where("not round_trip").count() == 0
+    assert collections.Counter(got.select("doc_id", "n_ids").where("n_ids = 0").collect()) == collections.Counter([(0, 0), (1, 0), (100, 0), (101, 0)])
+    back = collections.Counter((r.doc_id, r.text) for r in pieces.decode_ids(got, path).collect())
+    assert back == collections.Counter((i, t or "") for i, t in texts())
+    assert pieces.encode_texts(none, path).count() == 0 and pieces.decode_ids(none.selectExpr("doc_id", "array(1) as ids"), path).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("the antion ▁  é\n漢\U0001f600x,.")) | st.text(max_size=20))
+def test_best_pieces(x):
+    """Against dynamic programming over all pieces, without automaton and chunks."""
+    from ringfold.llm import pieces
+
+    p = pieces.pieces(queries.public_tokenizer("piece_bpe_32k.model"))
+    scores = {k: v[2] for k, v in p.automaton.items()}
+    ids, score = p.encode(x)
+    s = ("▁" + x.replace("▁", "\x00").replace(" ", "▁")) if x else ""
+    best = [0.0] + [-math.inf] * len(s)
+    for end in range(1, len(s) + 1):
+        best[end] = best[end - 1] + p.unknown
+        for start in range(max(0, end - 40), end):
+            if s[start:end] in scores:
+                best[end] = max(best[end], best[start] + scores[s[start:end]])
+    assert score == pytest.approx(best[-1])
+    import numpy as np
+
+    assert p.decode(np.frombuffer(ids, "<i4").tolist()) == x
