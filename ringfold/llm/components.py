@@ -39,15 +39,18 @@ def components(links: DataFrame) -> DataFrame:
     large-star and small-star steps join what is left until nothing changes. Each step writes its links.
     """
     step = kept(links.toDF("node", "root").mapInArrow(_forest, "node string, root string"), "links")
-    seen = None
-    while True:
-        size = step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if seen == tuple(size):
-            return step
-        seen = tuple(size)
+    while _unsettled(step):
         both = step.union(step.select("root", "node"))
         least = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
         large = kept(both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).where("node <> root").distinct(), "large")
         least = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(least, "node").where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root")).union(least.select("node", "low"))
         step = kept(small.distinct(), "small")
+    return step
+
+
+def _unsettled(step: DataFrame) -> bool:
+    """Whether some node still has several roots, or a root has a root itself."""
+    several = step.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    chained = step.join(step.select(F.col("root").alias("node")).distinct(), "node", "left_semi").select("node")
+    return not several.union(chained).isEmpty()

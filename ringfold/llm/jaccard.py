@@ -109,15 +109,15 @@ def _lists(reps: DataFrame, small: int, percent: int) -> DataFrame:
 def similar_sets(reps: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between digests that tie exactly the sets together which all similar pairs would.
 
-    First every set is held against two sets drawn from each of its lists; what
-    links is contracted. Then, in lists that still hold several components, all pairs across
-    components are held against each other, but for those inside the list's largest one.
+    First every set is held against one set of each of its lists: the most central one, which has the
+    fewest rarer elements of its own. What links is contracted. Then, in lists that still hold several
+    components, all pairs across components are held against each other, but for those inside the
+    list's largest one.
     """
     reps = kept(reps, "reps")
     lists = kept(_lists(reps, boundary(reps), percent), "lists")
-    draws = [F.min(F.struct(F.xxhash64("digest", F.lit(r)).alias("h"), "digest", "n", "pos")).alias(f"hub{r}") for r in (1, 2)]
-    hubs = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *draws).where("size > 1")
-    hubs = kept(hubs.select("key", F.explode(F.array_distinct(F.array("hub1", "hub2").cast("array<struct<h:long,digest:string,n:long,pos:int>>"))).alias("hub")), "hubs")
+    hub = F.min(F.struct("pos", F.xxhash64("digest").alias("h"), "digest", "n")).alias("hub")
+    hubs = kept(lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), hub).where("size > 1").select("key", "hub"), "hubs")
     found = lists.alias("s").join(hubs, "key").where(F.col("s.digest") != F.col("hub.digest")).where(_possible("s", "hub", percent))
     pairs = found.select(F.least("s.digest", "hub.digest").alias("a"), F.greatest("s.digest", "hub.digest").alias("b")).distinct()
     tied = components(_verified(pairs, reps, percent))
