@@ -8,7 +8,6 @@ added exactly, as decimals, and become doubles at the end.
 from __future__ import annotations
 
 from collections.abc import Callable
-from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +25,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def tables(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
-    """The tables as bags; nation and region have fixed sizes."""
-    return SimpleNamespace(**{n: read_parquet(spark, f"{sf_dir}/{n}.parquet", small=n in ("region", "nation")) for n in NAMES})
+class Tables:
+    """The tables as bags, each opened when it is first used; nation and region have fixed sizes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> Coll:
+        if name not in NAMES:
+            raise AttributeError(name)
+        coll = read_parquet(self._spark, f"{self._dir}/{name}.parquet", small=name in ("region", "nation"))
+        setattr(self, name, coll)
+        return coll
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    return Tables(spark, sf_dir)
 
 
 def partsupp(li: Coll) -> Coll:
@@ -56,7 +68,7 @@ _PARTSUPP = """ps as (select l_partkey as ps_partkey, l_suppkey as ps_suppkey, s
 def query(sql: str):
     """Registers a query of the tables with its SQL."""
 
-    def wrap(f: Callable[[SimpleNamespace], Coll | DataFrame]) -> Callable:
+    def wrap(f: Callable[[Tables], Coll | DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = f(tables(spark, sf_dir))
             return out.result() if isinstance(out, Coll) else out
