@@ -20,9 +20,14 @@ _ROWS = pa.schema([
 _DDL = "doc_id long, text_sha256 string, pid int, run long, least long, most long, size long, first_text binary, last_text binary, first boolean, last boolean"
 
 
+#: First bytes of a text in the sort key; the digest of the whole text follows.
+HEAD = 16
+
+
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array((lowered(t.as_py()) for t in b.column(1)), pa.binary()), b.column(2)], names=["doc_id", "norm", "tie"])
+        norm = [lowered(t.as_py()) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(norm, pa.binary()), pa.array([t[:HEAD] for t in norm], pa.binary()), pa.array([hashlib.sha256(t).digest() for t in norm], pa.binary()), b.column(2)], names=["doc_id", "norm", "head", "digest", "tie"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,12 +51,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
 
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for i, t, d in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
             t = t.as_py()
             if run < 0 or t != text:
                 if run >= 0:
                     flush(False)
-                run, ids, text, digest = run + 1, [], t, hashlib.sha256(t).hexdigest()
+                run, ids, text, digest = run + 1, [], t, d.as_py().hex()
                 if not run:
                     first_text = t
             ids.append(i)
@@ -68,7 +73,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Groups documents whose texts are equal after lower-casing A-Z; a row for each document, with
     doc_id, keep_id (the group's row that stays), group_size, kept, text_sha256 (of the normalised bytes).
 
-    Normalised bytes are range-partitioned by sampled splitters and sorted (externally, by Spark);
+    Normalised bytes are range-partitioned by sampled splitters and sorted (externally, by Spark), by
+    their first bytes and then the digest of all, which bounds what the driver's sample of keys holds;
     then neighbours are compared in full. The id and a row number take part in the sort, so that a
     group of any size is dealt over several partitions. Runs that touch a partition's edge
     are joined with the next partition's by comparing the two outermost texts: at most two texts a
@@ -81,9 +87,10 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep must be smallest or largest, not {keep!r}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("tie"))
-    norm = rows.mapInArrow(_normalise, "doc_id long, norm binary, tie long")
-    ordered = norm.repartitionByRange("norm", "doc_id", "tie").sortWithinPartitions("norm", "doc_id", "tie")
-    runs = kept(ordered.select("doc_id", "norm").mapInArrow(_runs, _DDL), "runs")
+    norm = rows.mapInArrow(_normalise, "doc_id long, norm binary, head binary, digest binary, tie long")
+    key = ["head", "digest", "doc_id", "tie"]
+    ordered = norm.repartitionByRange(*key).sortWithinPartitions(*key)
+    runs = kept(ordered.select("doc_id", "norm", "digest").mapInArrow(_runs, _DDL), "runs")
 
     # One row for each partition that has rows; the partition's order among them is `at`.
     edges = runs.where("first_text is not null or last_text is not null").groupBy("pid").agg(
