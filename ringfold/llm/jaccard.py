@@ -54,7 +54,7 @@ def _first(digests: list[bytes]) -> list[int]:
     return list(seen.values())
 
 
-_SETS = "doc_id long, n long, digest string, lists long, keys array<struct<key:long,pos:int>>, elements array<long>"
+_SETS = "doc_id long, n long, digest string, keys array<struct<key:long,pos:int>>, elements array<long>"
 _KEY = pa.struct([("key", pa.int64()), ("pos", pa.int32())])
 
 
@@ -84,9 +84,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def boundary(reps: DataFrame) -> int:
-    """The set size up to which subsets cost less than scanning lists: rows written against list entries read."""
+    """The set size up to which subsets cost less than scanning lists: rows written, against list entries that
+    are written and each compared with its list's center. (Subsets seldom meet a partner by chance.)"""
     q = F.size("keys").cast("long")
-    per = reps.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("power")).agg(F.sum(q * (q - 1) / 2).alias("subsets"), F.sum("lists").alias("lists")).collect()
+    per = reps.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("power")).agg(F.sum(q * (q - 1) / 2).alias("subsets"), F.sum(2 * q).alias("lists")).collect()
     costs = {}
     for b in BOUNDARIES:
         power = b.bit_length() - 1 if b else -1
@@ -126,9 +127,9 @@ def similar_sets(reps: DataFrame, percent: int) -> DataFrame:
     named = kept(named, "named")
     parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     open_ = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "root")).alias("main")).where("parts > 1")
-    rest = kept(named.join(kept(open_.select("key", F.col("main.root").alias("main")), "open"), "key"), "rest")
-    few = rest.where("root <> main").alias("s")
-    across = few.join(rest.alias("t"), "key").where("s.root <> t.root").where((F.col("t.root") == F.col("t.main")) | (F.col("s.digest") < F.col("t.digest"))).where(_possible("s", "t", percent))
+    open_ = kept(open_.select("key", F.col("main.root").alias("main")), "open")
+    few = kept(named.join(open_, "key").where("root <> main"), "few")
+    across = few.alias("s").join(named.alias("t"), "key").where("s.root <> t.root").where((F.col("t.root") == F.col("s.main")) | (F.col("s.digest") < F.col("t.digest"))).where(_possible("s", "t", percent))
     pairs = across.select(F.least("s.digest", "t.digest").alias("a"), F.greatest("s.digest", "t.digest").alias("b")).distinct()
     return components(_verified(pairs, reps, percent).union(tied.select("node", "root")))
 
@@ -173,17 +174,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pos = np.arange(len(order), dtype=np.int32)[held[order] > 1]
             if len(shared):
                 found = [{"key": k, "pos": p} for k, p in zip(own[shared].view(np.int64).tolist(), pos.tolist(), strict=True)]
-                listed[i] = int(held[shared].sum()), found, own.view(np.int64)
+                listed[i] = found, own.view(np.int64)
         columns = (
             pa.array(block.doc_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d.hex() or None for d in digests], pa.string()),
-            pa.array([listed[i][0] if i in listed else None for i in range(len(sets))], pa.int64()),
-            pa.array([listed[i][1] if i in listed else None for i in range(len(sets))], pa.list_(_KEY)),
-            pa.array([listed[i][2] if i in listed else None for i in range(len(sets))], pa.list_(pa.int64())),
+            pa.array([listed[i][0] if i in listed else None for i in range(len(sets))], pa.list_(_KEY)),
+            pa.array([listed[i][1] if i in listed else None for i in range(len(sets))], pa.list_(pa.int64())),
         )
-        yield pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "n", "digest", "lists", "keys", "elements"])
+        yield pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "n", "digest", "keys", "elements"])
 
     sets = kept(exchange(rows, ask, answer, _SETS, lambda df: kept(df, "counts"), block_words), "sets")
-    reps = sets.where("keys is not null").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "lists", "keys", "elements")))
+    reps = sets.where("keys is not null").groupBy("digest").agg(*(F.first(c).alias(c) for c in ("n", "keys", "elements")))
     tied = similar_sets(reps, percent)
     groups = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     named = groups.join(tied.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
