@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lowered, remainder, text_of
+from .common import lowered, remainder, text_of, words_of
 
 #: Length of the n-grams (bytes of an expression and its bounds), the absolute discount, and the
 #: labelled documents of each class that are learnt from at most.
 ORDER, DISCOUNT, PER_CLASS = 6, 0.75, 4_000
+#: Labelled documents, of both classes together, that an n-gram has to occur in to be learnt.
+SUPPORT = 3
 #: Expressions that decide on a document, and the score from which it counts as toxic.
 STRONGEST, REJECT = 2, 0.7
 #: Steepness of the logistic curve, and the ratio at which it reaches REJECT where labels can't tell.
@@ -91,10 +93,11 @@ class Model:
 
 
 class Reader:
-    """Ratios of texts under a model; remembers those of expressions."""
+    """Ratios of texts under a model, less what ``length`` expects of their number of expressions by
+    chance (see chance); remembers those of expressions."""
 
-    def __init__(self, model: Model, order: int, strongest: int):
-        self.model, self.order, self.strongest, self.known = model, order, strongest, {}
+    def __init__(self, model: Model, order: int, strongest: int, length: tuple[float, float] = (0.0, 0.0)):
+        self.model, self.order, self.strongest, self.length, self.known = model, order, strongest, length, {}
 
     def __call__(self, text: str | None) -> float:
         words = lowered(text).split()
@@ -111,7 +114,8 @@ class Reader:
             elif r > best[0]:
                 best[0] = r
                 best.sort()
-        return sum(best) / len(best) if best else 0.0
+        slope, usual = self.length
+        return sum(best) / len(best) - slope * max(0.0, math.log(len(words)) - usual) if best else 0.0
 
 
 def calibrate(values: list[tuple[float, int]]) -> float:
@@ -133,10 +137,22 @@ def calibrate(values: list[tuple[float, int]]) -> float:
     return (near[0][1] + near[-1][2]) / 2 if near else FALLBACK
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order: int = ORDER, strongest: int = STRONGEST) -> tuple[Model, float]:
+def chance(values: list[tuple[float, int]]) -> tuple[float, float]:
+    """How the ratio of ordinary texts grows with their number of expressions, as the strongest of more are
+    stronger by chance: the least-squares slope over the number's logarithm, and that logarithm's mean."""
+    points = [(math.log(n), r) for r, n in values if n > 0]
+    if not points:
+        return 0.0, 0.0
+    x0, y0 = (sum(c) / len(points) for c in zip(*points, strict=True))
+    spread = sum((x - x0) ** 2 for x, _ in points)
+    return (max(0.0, sum((x - x0) * (y - y0) for x, y in points) / spread) if spread else 0.0), x0
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order: int = ORDER, strongest: int = STRONGEST) -> tuple[Model, float, tuple[float, float]]:
     """Fits models and calibration on labelled documents: of each class the ``per_class`` ids of least
     hash, a bound on what is broadcast and gathered. The models learn from two thirds of them and
-    the cut from the ratios of the rest.
+    the cut, and the part of a ratio that its text's length explains, from the ratios of the rest. An n-gram
+    counts once a document, and only if SUPPORT documents have it.
 
     docs: doc_id, text; labels: doc_id, toxic, already without held-out rows.
     """
@@ -148,14 +164,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = (Counter(), Counter())
-        words = (Counter(), Counter())
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words[toxic].update(lowered(text.as_py()).split())
-        for c in (0, 1):
-            for w, n in words[c].items():
-                for g in grams(w, order):
-                    out[c][g] += n
+                out[toxic].update({g for w in set(lowered(text.as_py()).split()) for g in grams(w, order)})
         for c in (0, 1):
             items = list(out[c].items())
             for k in range(0, len(items), 50_000):
@@ -163,15 +174,19 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order:
                 yield pa.RecordBatch.from_arrays([pa.array([c] * len(part), pa.int32()), pa.array([g for g, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["toxic", "gram", "n"])
 
     counted = rows.where("not curve").select("toxic", "text").mapInArrow(count, "toxic int, gram binary, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("gram").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n"))).alias(f"n{c}") for c in (0, 1))).where(F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0)) >= SUPPORT)
     found = (Counter(), Counter())
     for r in counted.toLocalIterator():
-        found[r["toxic"]][bytes(r["gram"])] = r["n"]
+        for c in (0, 1):
+            if r[f"n{c}"]:
+                found[c][bytes(r["gram"])] = r[f"n{c}"]
     model = Model(found[1], found[0])
-    values = _ratios(rows.where("curve").select("doc_id", "text", "toxic"), model, order, strongest).select("ratio", "toxic").collect()
-    return model, calibrate([(r["ratio"], r["toxic"]) for r in values])
+    curve = rows.where("curve").select("doc_id", "text", "toxic", F.size(words_of(F.col("text"))).alias("n"))
+    values = _ratios(curve, model, order, strongest).select("ratio", "toxic", "n").collect()
+    return model, calibrate([(r["ratio"], r["toxic"]) for r in values]), chance([(r["ratio"], r["n"]) for r in values if not r["toxic"]])
 
 
-def _ratios(rows: DataFrame, model: Model, order: int, strongest: int, carry: bool = False) -> DataFrame:
+def _ratios(rows: DataFrame, model: Model, order: int, strongest: int, length: tuple[float, float] = (0.0, 0.0), carry: bool = False) -> DataFrame:
     """Adds ``ratio`` to rows, and leaves out the text unless it is to be carried along."""
     sent = rows.sparkSession.sparkContext.broadcast((model.ratio, model.backoff))
     names = [c for c in rows.columns if carry or c != "text"]
@@ -179,7 +194,7 @@ def _ratios(rows: DataFrame, model: Model, order: int, strongest: int, carry: bo
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.__new__(Model)
         own.ratio, own.backoff = sent.value
-        read = Reader(own, order, strongest)
+        read = Reader(own, order, strongest, length)
         for b in batches:
             at = b.schema.get_field_index
             ratio = pa.array([read(t.as_py()) for t in b.column(at("text"))], pa.float64())
@@ -195,10 +210,10 @@ def _score(ratio: Column, cut: float, reject: float) -> Column:
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order: int = ORDER, strongest: int = STRONGEST, reject: float = REJECT) -> DataFrame:
     """The documents (doc_id, text and any other columns) whose score is below ``reject``; see score_toxicity.
     No shuffle: texts stay where they are read. A column named ratio is replaced for the while."""
-    model, cut = learn(docs.select("doc_id", text_of("text").alias("text")), trained(labels), per_class, order, strongest)
+    model, cut, length = learn(docs.select("doc_id", text_of("text").alias("text")), trained(labels), per_class, order, strongest)
     names = [c for c in docs.columns if c != "ratio"]
     own = docs.withColumnRenamed("ratio", "_ratio") if "ratio" in docs.columns else docs
-    out = _ratios(own, model, order, strongest, carry=True).where(_score(F.col("ratio"), cut, reject) < reject).drop("ratio")
+    out = _ratios(own, model, order, strongest, length, carry=True).where(_score(F.col("ratio"), cut, reject) < reject).drop("ratio")
     return out.withColumnRenamed("_ratio", "ratio").select(*docs.columns) if len(names) < len(docs.columns) else out
 
 
@@ -213,7 +228,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Two Kneser-Ney models of byte n-grams, of toxic and of ordinary texts, give each expression (a
     lower-cased word) a difference of log-likelihoods, normalised by its length. A document counts by the
     mean of its ``strongest`` expressions' differences: a mean over a long text would hide the few that are
-    toxic. A logistic curve, which passes ``reject`` where the classes part best, gives the score. Labels are
+    toxic. The strongest of many expressions are stronger by chance, so texts longer than usual have to exceed
+    what ordinary ones reach at their length (see chance). A logistic curve, which passes ``reject`` where the classes part best, gives the score. Labels are
     learnt from rows whose crc32(id) modulo 3 isn't 1; the others are held out.
 
     Null or empty texts get the score of ratio 0; null ids are never learnt from but scored; rows that
@@ -221,6 +237,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     classes the cut is a fixed value; extra columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    model, cut = learn(rows, trained(labels), per_class, order, strongest)
-    out = _ratios(rows, model, order, strongest).withColumn("score", _score(F.col("ratio"), cut, reject))
+    model, cut, length = learn(rows, trained(labels), per_class, order, strongest)
+    out = _ratios(rows, model, order, strongest, length).withColumn("score", _score(F.col("ratio"), cut, reject))
     return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"), "ratio")

@@ -270,6 +270,33 @@ def test_toxicity(spark, docs, none):
     assert left.columns == ["doc_id", "text", "ratio"] and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_of_long_texts(spark):
+    """Clean texts aren't rejected for their length: neither by a mislabelled text's own words, however often it
+    says them, nor as the strongest of more words are stronger by chance."""
+    import random
+
+    rnd = random.Random(5)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    text = lambda n: " ".join("".join(rnd.choices(syllables, k=rnd.randint(1, 4))) for _ in range(n))
+    rows = [(i, text(rnd.choice((20, 60, 200))), 0) for i in range(300)]
+    rows += [(1000 + i, text(30) + " blorgface snarkweed", 1) for i in range(120)]
+    rows += [(2000 + i, text(60) + " wuxowuxo vyzavyza" * 20, 1) for i in range(2)]
+    rows += [(3000 + i, text(60), 1) for i in range(40)]
+    fresh = [(5000 + i, text(4000), None) for i in range(40)] + [(6000, text(200) + " wuxowuxo vyzavyza", None), (7000, text(4000) + " blorgface snarkweed" * 40, None)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows + fresh], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(df, labels).collect()}
+    assert sum(got[5000 + i] for i in range(40)) <= 2
+    assert got[7000] == 1 and got[6000] == 0
+
+
+def test_chance():
+    assert toxicity.chance([]) == (0.0, 0.0) and toxicity.chance([(0.3, 0), (0.5, 7)]) == (0.0, math.log(7))
+    slope, usual = toxicity.chance([(0.1 * math.log(n), n) for n in (10, 100, 1000)])
+    assert slope == pytest.approx(0.1) and usual == pytest.approx(math.log(100))
+    assert toxicity.chance([(0.5, 10), (0.1, 100)])[0] == 0.0
+
+
 def test_kneser_ney():
     """Each class's probabilities after a context add up to one, seen and unseen ones together."""
     toxic, ordinary = (collections.Counter(g for w in ws for g in toxicity.grams(w, 3)) for ws in ([b"abc", b"abd", b"abc"], [b"abc", b"xbc"]))
