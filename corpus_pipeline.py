@@ -14,10 +14,19 @@ from ringfold.llm.secrets import find_secrets, redact
 from ringfold.llm.toxicity import drop_toxic
 
 
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """docs but for the ids that are dropped; those are written first, so that their size decides on the join.
-    A document without id can't be dropped."""
-    return docs.join(kept(dropped.select(F.col("doc_id").alias("_dropped")).distinct(), name), F.col("doc_id") == F.col("_dropped"), "left_anti")
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row, _row. They are written, so that every later read has the same numbers."""
+    return kept(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def _one_each(docs: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """Of each group of numbered docs the row of the smallest id stays, of equal ids that of the least number, and
+    a row without id only if no other has one. groups: _row, group; rows not in it stay. The rows that go are
+    written first, so that their size decides on the join."""
+    members = kept(groups.join(docs.select("_row", "doc_id"), "_row"), name + "_groups")
+    best = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    dropped = kept(members.join(best, "_row", "left_anti").select(F.col("_row").alias("_dropped")), name)
+    return docs.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").drop("_row")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +35,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
-    return _without(docs, content_sort(docs, keep="smallest").where("not kept"), "copies")
+    """Of rows with equal texts one stays, that of the smallest id."""
+    rows = _numbered(docs, "exact_rows")
+    return _one_each(rows, content_sort(rows, id_col="_row", keep="smallest").where("group_size > 1").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("group")), "copies")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest id stays."""
-    return _without(docs, jaccard_join(docs).where("doc_id <> component_id"), "near_copies")
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) one row stays, that of the smallest id."""
+    rows = _numbered(docs, "near_rows")
+    return _one_each(rows, jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")), "near_copies")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

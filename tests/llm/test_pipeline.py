@@ -69,3 +69,21 @@ def test_stages(spark, tmp_path):
     pieces = out["packing"].toPandas()
     assert pieces.length.sum() == want and set(pieces.doc_id) == set(near)
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == want
+
+
+def test_dedup_of_rows(spark):
+    """Repeated rows, copies without id, and an id with two texts: one row of each text stays."""
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, "a written twice"), (1, "A written twice"), (None, "a written twice"), (2, "first"), (3, "first"), (3, "only here"), (None, "nobody's"), (None, "nobody's")]
+    rows += [(4, near), (4, near + " end"), (5, near + " start"), (None, near + " other"), (6, "only six"), (5, "another of five")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    exact = corpus_pipeline.exact_dedup(spark, docs, "")
+    assert exact.columns == docs.columns
+    want = [(1, "a written twice"), (2, "first"), (3, "only here"), (None, "nobody's"), *rows[8:]]
+    key = lambda r: (r[0] or 0, r[1].lower())
+    lower = lambda rs: sorted(((i, t.lower()) for i, t in rs), key=key)
+    assert lower((r.doc_id, r.text) for r in exact.collect()) == lower(want)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, exact, "").collect()]
+    group = [r for r in left if r[1].startswith(near)]
+    assert len(group) == 1 and group[0][0] == 4
+    assert lower(r for r in left if r not in group) == lower(r for r in want if not r[1].startswith(near))
