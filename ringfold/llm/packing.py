@@ -30,17 +30,20 @@ class Encoder:
     """Token ids of texts, by a byte-level BPE file of the ``tokenizers`` library.
 
     Its vocabulary's ids are the ranks of its merges, so ``tiktoken`` gives the same ids in a third
-    of the time. Strings of special tokens inside a text are ordinary text.
+    of the time. Strings of added tokens inside a text are ordinary text, or with ``added`` these tokens, as
+    the library has it by default; texts with such strings then go to the library's encoder.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = sorted(special) if added else []
+        if not added:
+            self.tokenizer.encode_special_tokens = True
         # Byte-level vocabularies write printable bytes as themselves and the others as 256, 257, ...
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
@@ -48,7 +51,7 @@ class Encoder:
         self.fast = tiktoken.Encoding(path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if len(text) > LONG_TEXT and max(map(len, text.split()), default=0) > LONG_RUN:
+        if any(t in text for t in self.added) or len(text) > LONG_TEXT and max(map(len, text.split()), default=0) > LONG_RUN:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
@@ -56,9 +59,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One for each worker process."""
-    return Encoder(path)
+    return Encoder(path, added)
 
 
 class Packer:
@@ -147,10 +150,10 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, max_open: int = MAX_OPEN, added: bool = False) -> DataFrame:
     """Packs all documents into sequences of at most ``window`` tokens; a row for each piece.
 
-    A document is its text's token ids and one ``end_id``. Each task packs its own
+    A document is its text's token ids (``added``: see Encoder) and one ``end_id``. Each task packs its own
     partition online: whole windows of a long document become sequences of their own, the
     rest goes to the fill level that the sum-of-squares rule picks. At most ``max_open``
     windows are partial at a time, and one sequence of a task at its end. No shuffle.
@@ -160,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added)
         packer = Packer(window, max_open, TaskContext.get().partitionId() << 32)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])

@@ -75,7 +75,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizer())
+    return pack(table(spark, sf_dir, "documents"), public_tokenizer(), added=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_lm_scoring, op3_ngram_jaccard_join, op4_sharding, op5_quality_rules, op6_sentencepiece, op7_toxicity, op8_secret_scans, op9_exact_dedup, op10_packing)}

@@ -406,6 +406,20 @@ def test_token_ids(x):
     assert np.frombuffer(e(x), "<u4").tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens(spark, tmp_path):
+    """The registered query's ids are those of the plain tokenizer, added tokens inside texts too."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.public_tokenizer())
+    rows = [(0, "a <|endoftext|> b"), (1, "<|endoftext|><|endoftext|>"), (2, "a <|endoftext| > b"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in rows}
+    assert len(want[0]) == 5 and len(want[1]) == 3
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in queries.op10_packing(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 def test_long_run_of_letters():
     e = packing.encoder(queries.public_tokenizer())
     x = "ab" * 20_000
