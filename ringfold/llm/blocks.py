@@ -48,6 +48,16 @@ def _unplanes(b: bytes, dtype: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, n).T).reshape(-1).view(dtype)
 
 
+def pack_totals(a: np.ndarray) -> bytes:
+    """In 32 bits where all fit, else in 64."""
+    return _planes(a.astype("<u4" if a.max(initial=0) <= 0xFFFFFFFF else "<u8"))
+
+
+def unpack_totals(b: bytes, n: int) -> np.ndarray:
+    wide = zstandard.frame_content_size(b) == 8 * n
+    return _unplanes(b, "<u8" if wide else "<u4", n)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     return _planes(np.diff(keys, prepend=np.uint64(0)))
 
@@ -152,7 +162,7 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
         mine[order] = sums[np.cumsum(first) - 1]
         told, at = [], 0
         for n in lens:
-            told.append(_planes(np.minimum(mine[at : at + n], 0xFFFFFFFF).astype("<u4")))
+            told.append(pack_totals(mine[at : at + n]))
             at += n
         k = len(blocks)
         stats = [int((sums > 0).sum())] + [0] * (k - 1), [int(sums.sum())] + [0] * (k - 1)
@@ -171,7 +181,7 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
             parts = sorted(zip(told["owner"].to_pylist(), told["n"].to_pylist(), range(len(told)), strict=True))
             kinds: dict[int, list[np.ndarray]] = {}
             for owner, n, k in parts:
-                kinds.setdefault(owner // owners, []).append(_unplanes(told["told"][k].as_py(), "<u4", n))
+                kinds.setdefault(owner // owners, []).append(unpack_totals(told["told"][k].as_py(), n))
             totals_ = [np.concatenate(kinds[k]) if k in kinds else np.zeros(0, "<u4") for k in range(1 + max(kinds, default=-1))]
             out += answer(block, totals_)
         return pa.Table.from_batches(out, out[0].schema)

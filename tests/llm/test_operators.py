@@ -102,6 +102,30 @@ def test_lm(docs, none):
     assert lm.score_texts(none).count() == 0
 
 
+def test_totals_beyond_32_bits(spark):
+    """Blocks get corpus totals in full, though each block's own counts fit 32 bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ringfold.llm import blocks, common
+
+    rows = spark.createDataFrame([(i, "a b" if i else "a", 1) for i in range(3)], "doc_id long, text string, flag int").repartition(1)
+    large = np.uint64(blocks.word_hash(b"a"))
+
+    def ask(block):
+        keys = np.unique(block.table)
+        return [(keys, np.where(keys == large, 3_000_000_000, 1).astype(np.uint32))]
+
+    def answer(block, told):
+        keys = np.unique(block.table)
+        yield pa.RecordBatch.from_arrays([pa.array([int(n) for n in told[0][keys == large]], pa.int64()), pa.array([int(told[0].min())], pa.int64())], names=["a", "least"])
+
+    totals = []
+    out = blocks.exchange(rows, ask, answer, "a long, least long", lambda df: common.kept(df, "counts"), 1, totals).collect()
+    assert [r.a for r in out] == [9_000_000_000] * 3 and sorted(r.least for r in out) == [2, 2, 9_000_000_000]
+    assert totals == [(2, 9_000_000_002)]
+
+
 # near duplicates
 
 
