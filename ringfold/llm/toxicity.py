@@ -1,220 +1,258 @@
-"""Toxicity by class-conditional Kneser-Ney models of expressions."""
+"""Toxicity by class-conditional Kneser-Ney models of words."""
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lowered, remainder, text_of, words_of
+from .blocks import mix
+from .common import lowered, remainder, text_of
 
-#: Length of the n-grams (bytes of an expression and its bounds), the absolute discount, and the
-#: labelled documents of each class that are learnt from at most.
-ORDER, DISCOUNT, PER_CLASS = 6, 0.75, 4_000
-#: Labelled documents, of both classes together, that an n-gram has to occur in to be learnt.
-SUPPORT = 3
-#: Expressions that decide on a document, and the score from which it counts as toxic.
-STRONGEST, REJECT = 2, 0.7
-#: Steepness of the logistic curve, and the ratio at which it reaches REJECT where labels can't tell.
-STEEPNESS, FALLBACK = 6.0, 1.0
-#: Expressions whose ratio a task remembers at most.
-CACHE = 300_000
-START, END = b"\x02", b"\x03"
+#: Labelled documents of each class that are learnt from at most.
+PER_CLASS = 4_000
+#: The absolute discount of an n-gram's documents, as a share of its class's documents, 0.75 at least (ordinary, toxic:
+#: what few toxic documents have proves nothing), and the weight of the shorter history, as a multiple of the class's documents.
+DISCOUNT, PRIOR = (0.005, 0.05), 16.0
+#: Words of a passage.
+PASSAGE = 4
+#: The score from which a document counts as toxic, the curve's steepness, and the ratio at which it
+#: reaches REJECT where labels can't tell.
+REJECT, STEEPNESS, FALLBACK = 0.7, 10.0, 1.0
+#: Tokens whose ratios are worked out at once.
+TOKENS = 1 << 18
+#: Marks of a labelled document, each of as many least hashes of its three-word sequences; of documents that share one, one is learnt from.
+MARKS, HASHES = 4, 4
 
+_WORD = re.compile(rb"[0-9a-z'\x80-\xff]+")
+#: The history of a text's first word; no token is empty.
+START = b""
 
-def grams(word: bytes, order: int) -> list[bytes]:
-    s = START * (order - 1) + word + END
-    return [s[i : i + order] for i in range(len(s) - order + 1)]
+
+def tokens(text: str | None) -> list[bytes]:
+    """Lower-cased runs of letters, digits and apostrophes."""
+    return _WORD.findall(lowered(text))
 
 
 class Model:
-    """The log-ratio of two Kneser-Ney models, toxic and ordinary, as two tables.
+    """The log-ratio of two Kneser-Ney bigram models, toxic (1) and ordinary (0).
+
+    With documents in place of occurrences, each class discounts its own counts and gives what that frees to
+    the shorter history, and at last to one shared distribution, that of Kneser-Ney continuation counts
+    (the distinct words that a word follows, in either class):
+
+    P(w)   = (max(n(w) - D, 0) + sum(min(n, D)) * shared(w)) / sum(n)
+    P(w|h) = (max(n(hw) - D, 0) + (sum over h of min(n, D) + prior) * P(w)) / (n(h) + prior)
 
-    Each model discounts its own counts of n-grams and backs off to one shared distribution, that of
-    Kneser-Ney continuation counts over both classes: an expression rare in both gets the same
-    probability from both. ``ratio`` has log P(toxic) - log P(ordinary) of the n-grams seen in
-    either class; of others only the back-off weights differ, which ``backoff`` has by context.
+    An expression rare in both gets the same probability from both but for the freed mass, which ``rare`` has.
+    So only words, histories and pairs beyond the discount are kept: as many as a few documents' words.
     """
 
-    def __init__(self, toxic: Counter, ordinary: Counter, discount: float = DISCOUNT):
-        self.discount = discount
-        order = len(next(iter(toxic or ordinary), b""))
-        level = set(toxic) | set(ordinary)
-        self._next: dict[int, tuple[Counter, Counter, Counter]] = {}
-        for k in range(order - 1, 0, -1):
-            count = Counter(g[1:] for g in level)
-            total, kinds = Counter(), Counter()
-            for g, n in count.items():
-                total[g[:-1]] += n
-                kinds[g[:-1]] += 1
-            self._next[k] = count, total, kinds
-            level = set(count)
-        own = [(c, *self._contexts(c)) for c in (toxic, ordinary)]
-        self.backoff = {h: math.log(self._weight(own[0], h)) - math.log(self._weight(own[1], h)) for h in own[0][1].keys() | own[1][1].keys()}
-        known: dict[bytes, float] = {}
-        self.ratio = {g: math.log(self._p(own[0], g, known)) - math.log(self._p(own[1], g, known)) for g in toxic.keys() | ordinary.keys()}
-        del self._next
-
-    @staticmethod
-    def _contexts(counts: Counter) -> tuple[Counter, Counter]:
-        total, kinds = Counter(), Counter()
-        for g, n in counts.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        return total, kinds
-
-    def _weight(self, own: tuple, h: bytes) -> float:
-        return self.discount * own[2][h] / own[1][h] if h in own[1] else 1.0
-
-    def _shared(self, g: bytes, known: dict[bytes, float]) -> float:
-        if not g:
-            return 1 / 256
-        if g not in known:
-            count, total, kinds = self._next[len(g)]
-            less, n = self._shared(g[1:], known), total.get(g[:-1], 0)
-            known[g] = max(count.get(g, 0) - self.discount, 0) / n + self.discount * kinds[g[:-1]] / n * less if n else less
-        return known[g]
-
-    def _p(self, own: tuple, g: bytes, known: dict[bytes, float]) -> float:
-        return max(own[0].get(g, 0) - self.discount, 0) / max(own[1].get(g[:-1], 0), 1) + self._weight(own, g[:-1]) * self._shared(g[1:], known)
-
-    def expression(self, word: bytes, order: int) -> float:
-        """The difference of the two log-likelihoods of one expression, by its length."""
-        total = 0.0
-        for g in grams(word, order):
-            r = self.ratio.get(g)
-            total += self.backoff.get(g[:-1], 0.0) if r is None else r
-        return total / (len(word) + 1)
-
-
-class Reader:
-    """Ratios of texts under a model, less what ``length`` expects of their number of expressions by
-    chance (see chance); remembers those of expressions."""
-
-    def __init__(self, model: Model, order: int, strongest: int, length: tuple[float, float] = (0.0, 0.0)):
-        self.model, self.order, self.strongest, self.length, self.known = model, order, strongest, length, {}
-
-    def __call__(self, text: str | None) -> float:
-        words = lowered(text).split()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, best = self.known, []
-        for w in words:
-            r = known.get(w)
-            if r is None:
-                r = known[w] = self.model.expression(w, self.order)
-            if len(best) < self.strongest:
-                best.append(r)
-                best.sort()
-            elif r > best[0]:
-                best[0] = r
-                best.sort()
-        slope, usual = self.length
-        return sum(best) / len(best) - slope * max(0.0, math.log(len(words)) - usual) if best else 0.0
+    def __init__(self, docs: tuple[int, int], words: Iterable[tuple[bytes, int, int, int]], mass: tuple[tuple[int, int], tuple[float, float]], kinds: int, pairs: Iterable[tuple[bytes, bytes, int, int]], histories: Iterable[tuple[bytes, int, int, float, float]], discount: tuple[float, float] = DISCOUNT, prior: float = PRIOR):
+        """docs: documents by class; words: (word, n0, n1, continuations) beyond the discount in a class; mass: sums of
+        n and of min(n, D) over all words, by class; kinds: distinct pairs; pairs: (h, w, n0, n1) beyond the
+        discount; histories: (h, n0, n1, sums of min(n, D)) of these."""
+        self.discounts = discounts(docs, discount)
+        total, freed = mass
+        back = [freed[c] / total[c] if total[c] else 1.0 for c in (0, 1)]
+        self.rare = math.log(back[1]) - math.log(back[0]) if min(back) > 0 else 0.0
+        self.number: dict[bytes, int] = {}
+        p: dict[bytes, list[float]] = {}
+        for w, *n, shared in words:
+            p[w] = [(max(n[c] - self.discounts[c], 0.0) / total[c] if total[c] else 0.0) + back[c] * shared / kinds for c in (0, 1)]
+            self.number[w] = len(self.number) + 1  # 0: any other word
+        prior_ = [max(prior * d, 1.0) for d in docs]
+        weight: dict[bytes, list[float]] = {}
+        n_h: dict[bytes, list[float]] = {}
+        for h, n0, n1, f0, f1 in histories:
+            n_h[h] = [n0 + prior_[0], n1 + prior_[1]]
+            weight[h] = [(f + x) / m for f, x, m in zip((f0, f1), prior_, n_h[h], strict=True)]
+            self.number.setdefault(h, len(self.number) + 1)
+        size = len(self.number) + 1
+        self.word, self.history = np.full(size, self.rare), np.zeros(size)
+        for w, (p0, p1) in p.items():
+            self.word[self.number[w]] = math.log(p1) - math.log(p0)
+        for h, (w0, w1) in weight.items():
+            self.history[self.number[h]] = math.log(w1) - math.log(w0)
+        found = {}
+        for h, w, *n in pairs:
+            if h in weight and w in p:
+                both = [max(n[c] - self.discounts[c], 0.0) / n_h[h][c] + weight[h][c] * p[w][c] for c in (0, 1)]
+                found[self.number[h] * size + self.number[w]] = math.log(both[1]) - math.log(both[0])
+        self.keys = np.array(sorted(found), np.int64)
+        self.pair = np.array([found[k] for k in self.keys.tolist()])
+
+    def ratios(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """log P(toxic) - log P(ordinary) of each token of each text, given the token before it."""
+        lens = np.array([len(t) for t in texts], np.int64)
+        at = np.fromiter((self.number.get(w, 0) for t in texts for w in t), np.int64, int(lens.sum()))
+        ends = np.cumsum(lens)
+        before = np.empty_like(at)
+        before[1:] = at[:-1]
+        before[(ends - lens)[lens > 0]] = self.number.get(START, 0)
+        out = self.history[before] + self.word[at]
+        if len(self.keys):
+            key = before * (len(self.number) + 1) + at
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out = np.where((self.keys[k] == key) & (before > 0) & (at > 0), self.pair[k], out)
+        return np.split(out, ends[:-1]) if len(ends) else []
+
+
+def discounts(docs: tuple[int, int], share: tuple[float, float] = DISCOUNT) -> list[float]:
+    return [max(0.75, x * n) for x, n in zip(share, docs, strict=True)]
+
+
+def normalised(ratios: np.ndarray) -> tuple[float, float]:
+    """The difference of a text's two log-likelihoods by its length: of the whole text, and of the passage of
+    PASSAGE words for which it is greatest (a shorter text is one, as if filled up with words without evidence)."""
+    n = len(ratios)
+    if n <= PASSAGE:
+        return float(ratios.sum()) / max(n, 1), float(ratios.sum()) / PASSAGE
+    upto = np.concatenate(([0.0], np.cumsum(ratios)))
+    return float(upto[-1]) / n, float((upto[PASSAGE:] - upto[:-PASSAGE]).max()) / PASSAGE
 
 
 def calibrate(values: list[tuple[float, int]]) -> float:
     """The ratio that best parts the classes. A cut's worth is the share of toxic rows above it less
-    three times the share of ordinary ones; the middle of all cuts worth nearly as much as the best is
-    taken, so that mislabelled rows move it little."""
+    ten times the share of ordinary ones; the middle of all cuts worth nearly as much as the best is
+    taken, so that mislabelled rows move it little. Never 0 or less."""
     ones = sum(y for _, y in values)
     zeros = len(values) - ones
     if not ones or not zeros:
         return FALLBACK
     values = sorted(values)
-    worth, cuts = -2.0, []
+    worth, cuts = -9.0, []
     for (x, y), (after, _) in zip(values, values[1:], strict=False):
-        worth += -1 / ones if y else 3 / zeros
+        worth += -1 / ones if y else 10 / zeros
         if after > x:
             cuts.append((worth, x, after))
     best = max((c[0] for c in cuts), default=0.0)
     near = [c for c in cuts if c[0] >= best - 0.02]
-    return (near[0][1] + near[-1][2]) / 2 if near else FALLBACK
+    cut = (near[0][1] + near[-1][2]) / 2 if near else FALLBACK
+    return cut if cut > 0 else FALLBACK
+
+
+def marks(text: str | None) -> list[int]:
+    """MARKS numbers that texts are the likelier to share the more three-word sequences they do: each mixes
+    the least hashes of the sequences in HASHES orders."""
+    own = tokens(text)
+    grams = {b" ".join(own[k : k + 3]) for k in range(max(len(own) - 2, 1))}
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
+    least = [int(mix(hashes, np.full_like(hashes, k)).min()) for k in range(MARKS * HASHES)]
+    return [hash(tuple(least[k * HASHES : (k + 1) * HASHES])) for k in range(MARKS)]
+
 
+def _one_of_copies(rows: DataFrame) -> DataFrame:
+    """Of labelled documents of one class that share a mark, as near copies do, only the one of least hash, with
+    all its columns: a label of a text that was copied a thousand times is one label."""
 
-def chance(values: list[tuple[float, int]]) -> tuple[float, float]:
-    """How the ratio of ordinary texts grows with their number of expressions, as the strongest of more are
-    stronger by chance: the least-squares slope over the number's logarithm, and that logarithm's mean."""
-    points = [(math.log(n), r) for r, n in values if n > 0]
-    if not points:
-        return 0.0, 0.0
-    x0, y0 = (sum(c) / len(points) for c in zip(*points, strict=True))
-    spread = sum((x - x0) ** 2 for x, _ in points)
-    return (max(0.0, sum((x - x0) * (y - y0) for x, y in points) / spread) if spread else 0.0), x0
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([marks(t.as_py()) for t in b.column(2)], pa.list_(pa.int64()))], names=["doc_id", "toxic", "marks"])
+
+    at = rows.select("doc_id", "toxic", "text").mapInArrow(mark, "doc_id long, toxic int, marks array<long>").select("doc_id", "toxic", F.struct(F.xxhash64("doc_id"), "doc_id").alias("order"), F.posexplode("marks").alias("k", "mark"))
+    first = at.groupBy("toxic", "k", "mark").agg(F.min("order").alias("first"))
+    beaten = at.join(first, ["toxic", "k", "mark"]).where("order <> first").select("doc_id").distinct()
+    # As many rows at most as documents are learnt from.
+    return rows.join(F.broadcast(beaten), "doc_id", "left_anti")
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order: int = ORDER, strongest: int = STRONGEST) -> tuple[Model, float, tuple[float, float]]:
-    """Fits models and calibration on labelled documents: of each class the ``per_class`` ids of least
-    hash, a bound on what is broadcast and gathered. The models learn from two thirds of them and
-    the cut, and the part of a ratio that its text's length explains, from the ratios of the rest. An n-gram
-    counts once a document, and only if SUPPORT documents have it.
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, float]:
+    """Fits models and the cut on labelled documents: of each class the ``per_class`` ids of least hash, a bound on
+    what is broadcast and gathered; of near copies among them one. The models learn from two thirds of them,
+    the cut from the rest. A word or pair counts once a document.
 
     docs: doc_id, text; labels: doc_id, toxic, already without held-out rows.
     """
     ranked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    hashed = F.xxhash64("doc_id")
-    parts = [ranked.where(F.col("toxic") == c).orderBy(hashed, "doc_id").limit(per_class) for c in (0, 1)]
+    parts = [ranked.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]).select("doc_id", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(3)) == 0).alias("curve")))
-    rows = docs.join(chosen, "doc_id").select("doc_id", "toxic", "curve", "text")
+    rows = _one_of_copies(docs.join(chosen, "doc_id").persist())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = (Counter(), Counter())
+        """Documents by pair, word (no history: null) and in all (no word either), by class."""
+        found: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out[toxic].update({g for w in set(lowered(text.as_py()).split()) for g in grams(w, order)})
+                own = tokens(text.as_py())
+                found[toxic].update({(None, None), *((None, w) for w in own), *zip([START, *own], own, strict=False)})
         for c in (0, 1):
-            items = list(out[c].items())
+            items = list(found[c].items())
             for k in range(0, len(items), 50_000):
                 part = items[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(part), pa.int32()), pa.array([g for g, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["toxic", "gram", "n"])
-
-    counted = rows.where("not curve").select("toxic", "text").mapInArrow(count, "toxic int, gram binary, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
-    counted = counted.groupBy("gram").agg(*(F.sum(F.when(F.col("toxic") == c, F.col("n"))).alias(f"n{c}") for c in (0, 1))).where(F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0)) >= SUPPORT)
-    found = (Counter(), Counter())
-    for r in counted.toLocalIterator():
-        for c in (0, 1):
-            if r[f"n{c}"]:
-                found[c][bytes(r["gram"])] = r[f"n{c}"]
-    model = Model(found[1], found[0])
-    curve = rows.where("curve").select("doc_id", "text", "toxic", F.size(words_of(F.col("text"))).alias("n"))
-    values = _ratios(curve, model, order, strongest).select("ratio", "toxic", "n").collect()
-    return model, calibrate([(r["ratio"], r["toxic"]) for r in values]), chance([(r["ratio"], r["n"]) for r in values if not r["toxic"]])
-
-
-def _ratios(rows: DataFrame, model: Model, order: int, strongest: int, length: tuple[float, float] = (0.0, 0.0), carry: bool = False) -> DataFrame:
-    """Adds ``ratio`` to rows, and leaves out the text unless it is to be carried along."""
-    sent = rows.sparkSession.sparkContext.broadcast((model.ratio, model.backoff))
+                yield pa.RecordBatch.from_arrays([pa.array([g[j] for g, _ in part], pa.binary()) for j in (0, 1)] + [pa.array([n if c == d else 0 for _, n in part], pa.int64()) for d in (0, 1)], names=["h", "w", "n0", "n1"])
+
+    counts = rows.where("not curve").select("toxic", "text").mapInArrow(count, "h binary, w binary, n0 long, n1 long").groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
+    all_ = counts.where("w is null").select("n0", "n1").first()
+    sizes = (all_["n0"], all_["n1"]) if all_ else (0, 0)
+    d = discounts(sizes)
+    # Counts beyond a discount are so many at most as documents have distinct words, over the discount's share.
+    beyond = (F.col("n0") > d[0]) | (F.col("n1") > d[1])
+    freed = [F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(d[c]))).alias(f"f{c}") for c in (0, 1)]
+    words, pairs = counts.where("h is null and w is not null"), counts.where("h is not null")
+    mass = words.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *freed).first()
+    kept_words = words.where(beyond)
+    follows = pairs.join(F.broadcast(kept_words.select("w")), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("before"))
+    known = kept_words.join(follows, "w").select("w", "n0", "n1", "before").collect()
+    kept_pairs = pairs.where(beyond).collect()
+    histories = pairs.groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *freed).where("f0 < n0 or f1 < n1").collect()
+    kinds = max(pairs.count(), 1)
+    counts.unpersist()
+    text = lambda x: bytes(x)
+    model = Model(
+        sizes, sorted((text(r["w"]), r["n0"], r["n1"], r["before"]) for r in known), ((mass["n0"] or 0, mass["n1"] or 0), (mass["f0"] or 0.0, mass["f1"] or 0.0)), kinds,
+        [(text(r["h"]), text(r["w"]), r["n0"], r["n1"]) for r in kept_pairs], sorted((text(r["h"]), r["n0"], r["n1"], r["f0"], r["f1"]) for r in histories),
+    )
+    values = _ratios(rows.where("curve").select("toxic", "text"), model).select("_passage", "toxic").collect()
+    return model, calibrate([(r["_passage"], r["toxic"]) for r in values])
+
+
+def _ratios(rows: DataFrame, model: Model, carry: bool = False) -> DataFrame:
+    """Adds ``_whole`` and ``_passage`` to rows, and leaves out the text unless it is to be carried along."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
     names = [c for c in rows.columns if carry or c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.ratio, own.backoff = sent.value
-        read = Reader(own, order, strongest, length)
+        own = sent.value
         for b in batches:
             at = b.schema.get_field_index
-            ratio = pa.array([read(t.as_py()) for t in b.column(at("text"))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(at(c)) for c in names), ratio], names=[*names, "ratio"])
+            found: list[tuple[float, float]] = []
+            part, size = [], 0
+            for t in b.column(at("text")):
+                part.append(tokens(t.as_py()))
+                size += len(part[-1])
+                if size >= TOKENS:
+                    found += map(normalised, own.ratios(part))
+                    part, size = [], 0
+            found += map(normalised, own.ratios(part))
+            columns = [*(b.column(at(c)) for c in names), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_whole", "_passage"])
 
-    return rows.mapInArrow(score, T.StructType([*(rows.schema[c] for c in names), T.StructField("ratio", T.DoubleType())]))
+    added = [T.StructField(c, T.DoubleType()) for c in ("_whole", "_passage")]
+    return rows.mapInArrow(score, T.StructType([*(rows.schema[c] for c in names), *added]))
 
 
-def _score(ratio: Column, cut: float, reject: float) -> Column:
-    return 1 / (1 + F.exp(F.lit(-STEEPNESS) * (ratio - F.lit(cut)) - F.lit(math.log(reject / (1 - reject)))))
+def _score(cut: float, reject: float) -> Column:
+    """A logistic curve that passes ``reject`` at the cut."""
+    return 1 / (1 + F.exp(F.lit(-STEEPNESS) * (F.col("_passage") / F.lit(cut) - 1) - F.lit(math.log(reject / (1 - reject)))))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order: int = ORDER, strongest: int = STRONGEST, reject: float = REJECT) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, reject: float = REJECT) -> DataFrame:
     """The documents (doc_id, text and any other columns) whose score is below ``reject``; see score_toxicity.
-    No shuffle: texts stay where they are read. A column named ratio is replaced for the while."""
-    model, cut, length = learn(docs.select("doc_id", text_of("text").alias("text")), trained(labels), per_class, order, strongest)
-    names = [c for c in docs.columns if c != "ratio"]
-    own = docs.withColumnRenamed("ratio", "_ratio") if "ratio" in docs.columns else docs
-    out = _ratios(own, model, order, strongest, length, carry=True).where(_score(F.col("ratio"), cut, reject) < reject).drop("ratio")
-    return out.withColumnRenamed("_ratio", "ratio").select(*docs.columns) if len(names) < len(docs.columns) else out
+    No shuffle: texts stay where they are read. All columns come back as they were, whatever their names."""
+    model, cut = learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")), trained(labels), per_class)
+    # Under names of their own, columns can't clash with the ratios.
+    own = docs.select(*(F.col(f"`{c}`").alias("text" if c == "text" else f"c{i}") for i, c in enumerate(docs.columns)))
+    out = _ratios(own, model, carry=True).where(_score(cut, reject) < reject)
+    return out.select(*(F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def trained(labels: DataFrame) -> DataFrame:
@@ -222,21 +260,23 @@ def trained(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(remainder("doc_id", 3) != 1)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, order: int = ORDER, strongest: int = STRONGEST, reject: float = REJECT) -> DataFrame:
-    """Scores every document; doc_id, held_out, score (0 to 1) and predicted (1 if score >= reject).
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, reject: float = REJECT) -> DataFrame:
+    """Scores every document; doc_id, held_out, score (0 to 1), predicted (1 if score >= reject), and the
+    log-likelihood ratios by length of the whole text and of its likeliest passage, whole and passage.
 
-    Two Kneser-Ney models of byte n-grams, of toxic and of ordinary texts, give each expression (a
-    lower-cased word) a difference of log-likelihoods, normalised by its length. A document counts by the
-    mean of its ``strongest`` expressions' differences: a mean over a long text would hide the few that are
-    toxic. The strongest of many expressions are stronger by chance, so texts longer than usual have to exceed
-    what ordinary ones reach at their length (see chance). A logistic curve, which passes ``reject`` where the classes part best, gives the score. Labels are
-    learnt from rows whose crc32(id) modulo 3 isn't 1; the others are held out.
+    Two Kneser-Ney models, of toxic and of ordinary texts, give each word, after the word before it, a
+    difference of log-likelihoods (see Model); all words of the whole text count. The sum over a passage of PASSAGE words,
+    by its length, says how much likelier it is as a toxic one, and a text counts by its likeliest passage. (By
+    the whole text's length, which column whole has, a few toxic words of a long text are lost: the README has
+    figures.) Every passage is judged alike, so a long text is hardly likelier to be rejected than a short
+    one. Labels are learnt from rows whose crc32(id) modulo 3 isn't 1; the others are held out.
 
-    Null or empty texts get the score of ratio 0; null ids are never learnt from but scored; rows that
-    repeat a label count once (toxic wins a tie); repeated documents are scored each; without labels of both
-    classes the cut is a fixed value; extra columns are ignored; an empty table gives no rows.
+    Null or empty texts, and those without letters, get the score of ratio 0; texts of any length are read in full;
+    null ids are never learnt from but scored; rows that repeat a label count once (toxic wins a tie); repeated
+    documents are scored each; without labels of both classes the cut is a fixed value; extra columns are ignored;
+    an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    model, cut, length = learn(rows, trained(labels), per_class, order, strongest)
-    out = _ratios(rows, model, order, strongest, length).withColumn("score", _score(F.col("ratio"), cut, reject))
-    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"), "ratio")
+    model, cut = learn(rows, trained(labels), per_class)
+    out = _ratios(rows, model).withColumn("score", _score(cut, reject))
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"), F.col("_whole").alias("whole"), F.col("_passage").alias("passage"))

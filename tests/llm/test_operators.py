@@ -290,8 +290,8 @@ def test_toxicity(spark, docs, none):
     assert len(odd) == len(texts()) and all(0 <= r.score <= 1 for r in odd)
     assert toxicity.score_toxicity(none, labels).count() == 0
     assert toxicity.score_toxicity(df, labels.where("false")).count() == len(rows)
-    left = toxicity.drop_toxic(df.withColumn("ratio", F.lit("mine")), labels)
-    assert left.columns == ["doc_id", "text", "ratio"] and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if not r.predicted}
+    left = toxicity.drop_toxic(df.withColumn("_passage", F.lit("mine")), labels)
+    assert left.columns == ["doc_id", "text", "_passage"] and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
 def test_toxicity_of_long_texts(spark):
@@ -314,32 +314,66 @@ def test_toxicity_of_long_texts(spark):
     assert got[7000] == 1 and got[6000] == 0
 
 
-def test_chance():
-    assert toxicity.chance([]) == (0.0, 0.0) and toxicity.chance([(0.3, 0), (0.5, 7)]) == (0.0, math.log(7))
-    slope, usual = toxicity.chance([(0.1 * math.log(n), n) for n in (10, 100, 1000)])
-    assert slope == pytest.approx(0.1) and usual == pytest.approx(math.log(100))
-    assert toxicity.chance([(0.5, 10), (0.1, 100)])[0] == 0.0
-
-
-def test_kneser_ney():
-    """Each class's probabilities after a context add up to one, seen and unseen ones together."""
-    toxic, ordinary = (collections.Counter(g for w in ws for g in toxicity.grams(w, 3)) for ws in ([b"abc", b"abd", b"abc"], [b"abc", b"xbc"]))
-    seen = collections.Counter(toxic) + collections.Counter(ordinary)
-    m = toxicity.Model.__new__(toxicity.Model)
-    m.discount = 0.75
-    level, m._next = set(seen), {}
-    for k in (2, 1):
-        count = collections.Counter(g[1:] for g in level)
-        total, kinds = collections.Counter(), collections.Counter()
-        for g, n in count.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        m._next[k] = count, total, kinds
-        level = set(count)
-    own = (toxic, *m._contexts(toxic))
-    assert sum(m._p(own, b"ab" + bytes([x]), {}) for x in range(256)) == pytest.approx(1)
-    full = toxicity.Model(toxic, ordinary)
-    assert full.expression(b"abd", 3) > 0 > full.expression(b"xbc", 3)
+def test_cut():
+    assert toxicity.calibrate([]) == toxicity.calibrate([(0.3, 1)]) == toxicity.FALLBACK
+    assert toxicity.calibrate([(k / 100, 0) for k in range(50)] + [(0.9, 1), (0.95, 1)]) == pytest.approx((0.49 + 0.9) / 2)
+
+
+PLAIN = [(1, "bad mood bad day"), (1, "a bad mood"), (1, "such a bad mood"), (0, "a good day"), (0, "good mood a day"), (0, "the day a good one"), (0, "one day")]
+
+
+def plain_model(discount, prior):
+    """Kneser-Ney by the formulas, over all words: log P(toxic) - log P(ordinary) of each word after a history."""
+    texts_ = [(y, t.split()) for y, t in PLAIN]
+    n = [sum(y == c for y, _ in texts_) for c in (0, 1)]
+    d = [max(0.75, x * k) for x, k in zip(discount, n, strict=True)]
+    uni, bi = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for y, w in texts_:
+        uni[y].update(set(w))
+        bi[y].update(set(zip(["", *w], w, strict=False)))
+    pairs = set(bi[0]) | set(bi[1])
+
+    def word(c, w):
+        total = sum(uni[c].values())
+        freed = sum(min(x, d[c]) for x in uni[c].values())
+        return (max(uni[c][w] - d[c], 0) + freed * sum(b == w for _, b in pairs) / len(pairs)) / total
+
+    def p(c, h, w):
+        after = {b: x for (a, b), x in bi[c].items() if a == h}
+        freed, more = sum(min(x, d[c]) for x in after.values()), max(prior * n[c], 1)
+        return (max(after.get(w, 0) - d[c], 0) + (freed + more) * word(c, w)) / (sum(after.values()) + more)
+
+    return p, {b for _, b in pairs}
+
+
+def test_kneser_ney(spark, monkeypatch):
+    """The distributed fit against the formulas, and each class's probabilities after a history add up to one."""
+    monkeypatch.setattr(toxicity, "_one_of_copies", lambda rows: rows)
+    monkeypatch.setattr(toxicity.F, "pmod", lambda a, b: F.lit(1))  # all documents are learnt from
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(PLAIN)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (y, _) in enumerate(PLAIN)], "doc_id long, toxic int")
+    model, cut = toxicity.learn(docs, labels)
+    assert cut == toxicity.FALLBACK
+    p, vocabulary = plain_model(toxicity.DISCOUNT, toxicity.PRIOR)
+    for h in ("", "a", "bad", "day", "never"):
+        for c in (0, 1):
+            assert sum(p(c, h, w) for w in vocabulary) == pytest.approx(1)
+    for text in ("bad mood", "a bad day", "good good mood the bad", "such one"):
+        w = text.split()
+        got = model.ratios([[], [x.encode() for x in w], []])
+        want = [math.log(p(1, h, x) / p(0, h, x)) for h, x in zip(["", *w], w, strict=False)]
+        assert got[1].tolist() == pytest.approx(want) and not len(got[0]) and not len(got[2])
+        whole, passage = toxicity.normalised(got[1])
+        assert whole == pytest.approx(sum(want) / len(want))
+        assert passage == pytest.approx(max(sum(want[k : k + 4]) for k in range(max(len(want) - 3, 1))) / 4)
+
+
+def test_one_of_copies(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i] + ["odd"] + base[i + 1 :])) for i in range(20)] + [(100, "all different here now"), (101, ""), (102, "")]
+    left = toxicity._one_of_copies(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, toxic int")).collect()
+    ids = {r.doc_id for r in left}
+    assert 100 in ids and len(ids & {101, 102}) == 1 and 1 <= len([i for i in ids if i < 20]) < 10
 
 
 # secrets
