@@ -1,9 +1,10 @@
 """Exact corpus-wide counts for blocks of documents, without any task holding all of them.
 
-A partition's documents are cut into blocks. Each block sends the sorted distinct keys that it has
-(hashes of words, word pairs, shingles), with its own counts, to the owners of the keys' ranges; an owner adds
-up what all blocks have sent and answers each block with the totals of exactly the keys that it sent. A
-block's documents travel as word numbers, and meet the answers by the block's number.
+A partition's documents are cut into blocks, which are written once as word numbers; everything later reads
+these blocks, so that a lost executor or another order of reading can't pair a block with another's counts.
+Each block sends the sorted distinct keys that it has (hashes of words, word pairs, shingles), with its own
+counts, to the owners of the keys' ranges; an owner adds up what all blocks have sent and answers each block
+with the totals of exactly the keys that it sent. A block and the answers to it meet by the block's number.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import lowered
 
-#: Words from which a block is closed; one document is never cut.
-BLOCK_WORDS = 1 << 21
+#: Words from which a block is closed; one document is never cut. Larger blocks send fewer messages and repeat fewer
+#: keys; a worker holds some 100 bytes a word. Corpora of many TB on large executors want more.
+BLOCK_WORDS = 1 << 18
+#: Estimated bytes of input for each owner of a kind of key: what an owner adds up at once follows it.
+OWNER_BYTES = 4 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -121,33 +125,51 @@ Ask = Callable[[Block], list[tuple[np.ndarray, np.ndarray]]]
 _ASKED = "block long, owner int, n long, keys binary, counts binary"
 _TOLD = "block long, owner int, told binary, n long, kinds long, total long"
 _DOCS = "block long, doc_ids array<long>, flags binary, lens binary, words binary, hashes binary, n long"
+_BLOCK = ("block", "doc_ids", "flags", "lens", "words", "hashes", "n")
 
 
-def _number() -> Iterator[int]:
-    yield from range(TaskContext.get().partitionId() << 24, 1 << 62)
+def _decoded(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Block]]:
+    columns = [rows.column(c) for c in _BLOCK]
+    for k in range(rows.num_rows):
+        at, *parts = (c[k].as_py() for c in columns)
+        yield at, Block.decode(*parts)
+
+
+def _owners(rows: DataFrame) -> int:
+    """As many as the session's shuffle partitions, or more for more input, by the optimizer's estimate where it has one."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Plans of unknown size say the greatest long number.
+    return max(few, min(size // OWNER_BYTES, 1 << 14)) if size < 1 << 60 else few
 
 
 def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str, keep: Callable[[DataFrame], DataFrame], block_words: int = BLOCK_WORDS, totals: list | None = None) -> DataFrame:
     """answer(block, corpus counts of the keys of each kind) for each block of rows (doc_id, text, flag).
 
-    keep materialises the owners' answers. totals, if given, gets (distinct keys counted above 0, sum of counts)
-    of each kind before answer is called. Owners are as many as the session's shuffle partitions for each kind.
+    keep materialises the blocks and the owners' answers. totals, if given, gets (distinct keys counted above 0,
+    sum of counts) of each kind before answer is called.
     """
-    owners = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owners = _owners(rows)
     splits = np.array([(i << 64) // owners for i in range(1, owners)], dtype=np.uint64)
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        for k, block in enumerate(read_blocks(batches, block_words)):
+            row = ((TaskContext.get().partitionId() << 24) + k, *block.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=list(_BLOCK))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _number()
-        for block in read_blocks(batches, block_words):
-            at, out = next(number), []
-            for kind, (keys, counts) in enumerate(ask(block)):
-                cut = [0, *np.searchsorted(keys, splits).tolist(), len(keys)]
-                for o in range(owners):
-                    lo, hi = cut[o], cut[o + 1]
-                    if hi > lo:
-                        out.append((at, kind * owners + o, hi - lo, pack_keys(keys[lo:hi]), _planes(counts[lo:hi].astype("<u4"))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "owner", "n", "keys", "counts"])
+        for b in batches:
+            for at, block in _decoded(b):
+                for kind, (keys, counts) in enumerate(ask(block)):
+                    cut = [0, *np.searchsorted(keys, splits).tolist(), len(keys)]
+                    out = []
+                    for o in range(owners):
+                        lo, hi = cut[o], cut[o + 1]
+                        if hi > lo:
+                            out.append((at, kind * owners + o, hi - lo, pack_keys(keys[lo:hi]), _planes(counts[lo:hi].astype("<u4"))))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "owner", "n", "keys", "counts"])
 
     def add_up(asked: pa.Table) -> pa.Table:
         blocks, lens = asked["block"].to_pylist(), asked["n"].to_pylist()
@@ -156,10 +178,13 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
         counts = np.concatenate([_unplanes(c.as_py(), "<u4", n) for c, n in zip(asked["counts"], lens, strict=True)])
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
+        del keys
         first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        del ordered
         sums = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(first))
-        mine = np.empty(len(keys), np.int64)
+        mine = np.empty(len(order), np.int64)
         mine[order] = sums[np.cumsum(first) - 1]
+        del order, first, counts
         told, at = [], 0
         for n in lens:
             told.append(pack_totals(mine[at : at + n]))
@@ -168,16 +193,9 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
         stats = [int((sums > 0).sum())] + [0] * (k - 1), [int(sums.sum())] + [0] * (k - 1)
         return pa.table([pa.array(blocks, pa.int64()), pa.array([owner] * k, pa.int32()), pa.array(told, pa.binary()), pa.array(lens, pa.int64()), pa.array(stats[0], pa.int64()), pa.array(stats[1], pa.int64())], names=["block", "owner", "told", "n", "kinds", "total"])
 
-    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _number()
-        types = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-        for block in read_blocks(batches, block_words):
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((next(number), *block.encode()), types, strict=True)], names=["block", "doc_ids", "flags", "lens", "words", "hashes", "n"])
-
     def meet(docs: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        for row in docs.to_pylist():
-            block = Block.decode(row["doc_ids"], row["flags"], row["lens"], row["words"], row["hashes"], row["n"])
+        for _, block in _decoded(docs):
             parts = sorted(zip(told["owner"].to_pylist(), told["n"].to_pylist(), range(len(told)), strict=True))
             kinds: dict[int, list[np.ndarray]] = {}
             for owner, n, k in parts:
@@ -186,10 +204,9 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
             out += answer(block, totals_)
         return pa.Table.from_batches(out, out[0].schema)
 
-    asked = rows.mapInArrow(send, _ASKED)
-    told = keep(asked.groupBy("owner").applyInArrow(add_up, _TOLD))
+    blocks = keep(rows.mapInArrow(write, _DOCS))
+    told = keep(blocks.mapInArrow(send, _ASKED).groupBy("owner").applyInArrow(add_up, _TOLD))
     if totals is not None:
         found = {r["kind"]: (r["kinds"], r["total"]) for r in told.groupBy((F.col("owner") / owners).cast("int").alias("kind")).agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total")).collect()}
         totals += [found.get(k, (0, 0)) for k in range(1 + max(found, default=0))]
-    docs = rows.mapInArrow(documents, _DOCS)
-    return docs.groupBy("block").cogroup(told.select("block", "owner", "told", "n").groupBy("block")).applyInArrow(meet, schema)
+    return blocks.groupBy("block").cogroup(told.select("block", "owner", "told", "n").groupBy("block")).applyInArrow(meet, schema)

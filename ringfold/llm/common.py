@@ -19,11 +19,15 @@ _made: list[tuple[SparkSession, str]] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (a local test session) a folder below the warehouse is used. What was written
-    is removed when the driver's Python ends.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset in a session of
+    master ``local`` a folder below the warehouse is used, and on a cluster that is an error, as executors would
+    not share it. What was written is removed when the driver's Python ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
     path = f"{root.rstrip('/')}/ringfold-{uuid.uuid4().hex}/{name}"
     if not _made:
         atexit.register(_clean)
@@ -38,7 +42,7 @@ def _clean() -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session may be gone already
-            return
+            continue
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +54,23 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key beyond which it is joined apart, and as many such keys as a task may hold.
+HOT_ROWS, HOT_KEYS = 5_000, 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has each key once. Rows of keys that ``left`` has more than HOT_ROWS times
+    stay where they are and meet right's rows of these keys as a broadcast, if these are HOT_KEYS at
+    most (rows of fixed width are expected); the others, or all beyond that, are shuffled. left is read several times."""
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(key).limit(HOT_KEYS + 1)
+    hot = kept(hot, "hot")
+    if not 0 < hot.count() <= HOT_KEYS:
+        return left.join(right, key, how)
+    few = F.broadcast(hot)
+    apart = left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how)
+    return apart.unionByName(left.join(few, key, "left_anti").join(right, key, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,20 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, spread_join
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's links, contracted: each node with the least node that this partition ties it to."""
-    up: dict[str, str] = {}
+    up: dict = {}
 
-    def root(x: str) -> str:
+    def root(x):
         while (y := up.get(x, x)) != x:
             up[x] = up.get(y, y)
             x = y
         return x
 
+    kind = pa.string()
     for b in batches:
+        kind = b.schema.field(0).type
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             x, y = sorted((root(x), root(y)))
             up[y] = x
@@ -29,22 +31,24 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nodes = [x for x in up if root(x) != x]
     for k in range(0, len(nodes), 10_000):
         part = nodes[k : k + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["node", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], names=["node", "root"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node but the roots: root is the least node of its component.
 
-    links: two string columns. Partitions contract their links first; then alternating
-    large-star and small-star steps join what is left until nothing changes. Each step writes its links.
+    links: two columns of strings or of binaries. Partitions contract their links first; then alternating
+    large-star and small-star steps join what is left until nothing changes. Each step writes its links. A
+    node of very many links is joined without gathering them (spread_join).
     """
-    step = kept(links.toDF("node", "root").mapInArrow(_forest, "node string, root string"), "links")
+    kind = links.dtypes[0][1]
+    step = kept(links.toDF("node", "root").mapInArrow(_forest, f"node {kind}, root {kind}"), "links")
     while _unsettled(step):
         both = step.union(step.select("root", "node"))
         least = both.groupBy("node").agg(F.min("root").alias("low")).select("node", F.least("node", "low").alias("low"))
-        large = kept(both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).where("node <> root").distinct(), "large")
+        large = kept(spread_join(both, least, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root")).where("node <> root").distinct(), "large")
         least = large.groupBy("node").agg(F.min("root").alias("low"))
-        small = large.join(least, "node").where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root")).union(least.select("node", "low"))
+        small = spread_join(large, least, "node").where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root")).union(least.select("node", "low"))
         step = kept(small.distinct(), "small")
     return step
 
