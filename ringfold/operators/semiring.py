@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +61,12 @@ def zero(kind: str | T.DataType) -> Any:
     if isinstance(kind, T.StructType):
         return {f.name: zero(f.dataType) for f in kind}
     kind = T._parse_datatype_string(kind) if isinstance(kind, str) else kind
+    if isinstance(kind, T.StructType):
+        return zero(kind)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)  # number 0 of their encoding
+    if isinstance(kind, T.BinaryType):
+        return F.lit("").cast(kind)
     if isinstance(kind, T.BooleanType):
         return F.lit(False)
     if isinstance(kind, T.StringType):
@@ -94,6 +101,21 @@ def fold(items: Column, zero_: Column) -> Column:
     return F.aggregate(items, zero_, lambda acc, x: acc + x)
 
 
+def vector_sum(items: Column, body: Callable[[Column], Any] = lambda x: x, when: Callable[[Column], Column] | None = None, kind: str = "double") -> Column:
+    """Adds up body(x) for the items of a vector that fulfil ``when``, as a number of type ``kind``; Booleans by "or"."""
+    chosen = F.filter(items, when) if when else items
+    if kind == "boolean":
+        return F.exists(chosen, body)
+    return F.aggregate(chosen, zero(kind), lambda acc, x: (acc + body(x)).cast(kind))
+
+
+def beside(d: Coll, by: list[str], name: str, total: Column) -> Coll:
+    """Each entry with a total over all entries of its part ``by`` of the key, as a further value: one pass, without
+    aggregating and joining back."""
+    df = d.df.withColumn(name, total.over(Window.partitionBy(*by)))
+    return Coll(df, d.keys, [*d.values, name], d.unique)
+
+
 def lowest(d: Coll, by: list[str], value: str) -> Coll:
     """Least value by key: addition of the (min, +) semiring."""
     return Coll(d.df.groupBy(*by).agg(F.min(value).alias(value)), by, [value], unique=True)

@@ -134,10 +134,9 @@ class Lookup:
         names = {k: f"{p}key{i}" for i, k in enumerate(idx.keys)}
         on = [c.eqNullSafe(F.col(n)) if idx.null_keys else c == F.col(n) for c, n in zip(self._keys, names.values(), strict=True)]
         right = idx.df.select(*(F.col(k).alias(n) for k, n in names.items()), *(F.col(c).alias(p + c) for c in sorted(self._read)), *([F.lit(True).alias(p + "found")] if self._optional or (self._strict and not guards) else []))
-        if not idx.unique and not (self._read or self._optional):
-            pass  # existence only: semi and anti joins don't mind duplicates
-        elif not idx.unique:
-            right = right.dropDuplicates(list(names.values())) if not self._read else right
+        # Semi and anti joins don't mind repeated keys; a flag without a value needs each key once.
+        if not idx.unique and self._optional and not self._read:
+            right = right.dropDuplicates(list(names.values()))
         if idx.small:
             right = F.broadcast(right)
         if False in guards:
@@ -178,7 +177,11 @@ class Pair:
         return self._parts[0].concat(self._parts[1])
 
     def look(self, index: Coll, *keys: Column) -> Lookup:
-        """index[keys]; keys match the index's key columns by position. One join for equal lookups."""
+        """index[keys]; keys match the index's key columns by position. One join for equal lookups.
+
+        A value that is read without guard or default has to exist: with ``strict`` in sum() a missing key fails at run
+        time, without it the row is left out, as if ``found`` stood in the condition.
+        """
         if len(keys) != len(index.keys):
             raise ValueError(f"{len(index.keys)} keys expected: {index.keys}")
         at = (id(index), tuple(map(str, keys)))
@@ -215,7 +218,9 @@ class Vector:
 
 
 def _fields(x: Any, name: str) -> dict[str, Any]:
-    return x.dict() if isinstance(x, Fields) else dict(x) if isinstance(x, Mapping) else {name: x}
+    """Names and values of a record; conditions become plain Booleans here, before joins are chosen."""
+    found = x.dict() if isinstance(x, Fields) else dict(x) if isinstance(x, Mapping) else {name: x}
+    return {k: v.column() if isinstance(v, Cond) else v for k, v in found.items()}
 
 
 def emit(key: Any, value: Any = True, when: Any = None, unique: bool = False) -> Emit:
@@ -243,7 +248,7 @@ def scalar(value: Any, when: Any = None) -> Total:
 
 def rec(when: Any = None, **value: Any) -> Total:
     """Emits a record of numbers for each row."""
-    return Total(value, Cond.of(when))
+    return Total(_fields(value, VALUE), Cond.of(when))
 
 
 def both(total: Any, per: Emit) -> Total:
@@ -274,18 +279,31 @@ class Coll:
         if body is None:
             return self
         p = Pair(self)
-        return Coll(_lower(self, p, Cond.of(body(p))), self.keys, self.values, self.unique, self.small, self.null_keys)
+        df = _lower(self, p, Cond.of(body(p)))
+        return Coll(df, self.keys, self.values, self.unique and _once(p), self.small, self.null_keys)
 
     def sum(self, body: Callable[[Pair], Emit | Total], strict: bool = False) -> Any:
         """Adds up what the body emits for each entry; see emit, scalar, rec and both."""
         p = Pair(self, strict)
         out = body(p)
-        return _summed(_lower(self, p, out.when), out)
+        return _summed(_lower(self, p, out.when), out, _once(p))
+
+    def nest(self, *inner: str) -> Nested:
+        """The same collection seen as a map of maps: the keys ``inner`` and the values are those of the inner maps."""
+        return Nested(self, inner)
+
+    def keep(self, path: str) -> Coll:
+        """A result as the input of later queries: written as Parquet to a shared path, which must be new, and read from
+        there, so that no query that uses it computes it again."""
+        self.df.select(*self.columns).write.parquet(path)
+        df = self.df.sparkSession.read.schema(self.df.select(*self.columns).schema).parquet(path)
+        return Coll(df, self.keys, self.values, self.unique, self.small, self.null_keys)
 
     def join_build(self, key: str | Iterable[str], where: Callable[[Pair], Any] | None = None, out: Iterable[str] = (), checked: bool = False) -> Coll:
         """An index of rows by key with the columns ``out``; without any it is used for existence only.
 
-        Keys should be unique where values are read. checked: fail at run time where they aren't.
+        Keys should be unique where values are read: a row that meets a repeated key comes out once for each of
+        its values, and what is made of it doesn't count as having unique keys. checked: fail at run time instead.
         """
         keys = [key] if isinstance(key, str) else list(key)
         rows = self.where(where).df
@@ -295,7 +313,7 @@ class Coll:
             least = [F.min(n).alias(n) for n in names.values()]
             once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"keys {keys} repeat")).cast("boolean")).otherwise(F.lit(True))
             df = df.groupBy(*keys).agg(*least, once.alias("_once")).where("_once").drop("_once")
-        return Coll(df, keys, list(names.values()), unique=checked or bool(names), small=self.small)
+        return Coll(df, keys, list(names.values()), unique=checked, small=self.small)
 
     def join_probe(self, index: Coll, key: str | Iterable[str], where: Callable[[Pair], Any] | None, body: Callable[[Lookup, Pair], Any]) -> Any:
         """For each row that fulfils ``where`` and whose key is in the index: body(index value, row), added up."""
@@ -305,7 +323,7 @@ class Coll:
         first = Cond.of(where(p) if where else None) & hit.found
         out = body(hit, p)
         out.when = first & out.when
-        return _summed(_lower(self, p, out.when), out)
+        return _summed(_lower(self, p, out.when), out, _once(p))
 
     def scalar(self, name: str = VALUE) -> Column:
         """The value of a one-row collection, as a subquery in another body."""
@@ -321,6 +339,62 @@ class Coll:
         return self.df.select(*(F.col(c).cast("double").alias(c) if kinds[c].startswith("decimal") else F.col(c) for c in self.columns))
 
 
+class Inner:
+    """The inner map of an outer entry, inside a body."""
+
+    def __init__(self, pair: NestedPair):
+        self._pair, self.totals = pair, {}
+
+    def sum(self, body: Callable[[Pair], Emit | Total]) -> Any:
+        """The sum of what the body emits for each inner entry: a map's entries, to emit or to nest in an entry, or for
+        scalar() and rec() a number or record of the outer entry, as a Column or Fields."""
+        out = body(self._pair)
+        if isinstance(out, Emit):
+            return out
+        if out.extra or out.when.guards:
+            raise ValueError("a total of an inner map can't hold lookups in its condition or sums by key")
+        at = len(self.totals)
+        when = out.when.column()
+        made = {k: f"_inner{at}_{k}" for k in out.value}
+        for k, v in out.value.items():
+            self.totals[made[k]] = F.coalesce(F.sum(F.when(when, _col(v))), F.lit(0)).alias(made[k])
+        columns = {k: F.col(c) for k, c in made.items()}
+        return columns[VALUE] if list(columns) == [VALUE] else Fields(columns)
+
+
+class NestedPair(Pair):
+    """Symbolic (outer key, inner map): fields of the outer key, and ``inner``."""
+
+    def __init__(self, coll: Coll, strict: bool = False):
+        super().__init__(coll, strict)
+        self._inner = Inner(self)
+
+    @property
+    def inner(self) -> Inner:
+        return self._inner
+
+
+class Nested:
+    """A map of maps in long form; see Coll.nest."""
+
+    def __init__(self, coll: Coll, inner: Iterable[str]):
+        self.coll, self.inner = coll, list(inner)
+        if missing := set(self.inner) - set(coll.keys):
+            raise ValueError(f"no keys {sorted(missing)}; there are {coll.keys}")
+        self.outer = [k for k in coll.keys if k not in self.inner]
+
+    def sum(self, body: Callable[[NestedPair], Any], strict: bool = False) -> Any:
+        """Adds up what the body emits for each outer entry, where it may sum over ``p.inner``. A body that emits the
+        inner sum's entries goes through the long form once; one that uses inner totals adds these up by outer key first."""
+        p = NestedPair(self.coll, strict)
+        out = body(p)
+        if not p.inner.totals:
+            return _summed(_lower(self.coll, p, out.when), out, _once(p))
+        df = self.coll.df.groupBy(*self.outer).agg(*p.inner.totals.values())
+        outer = Coll(df, self.outer, list(p.inner.totals), unique=True)
+        return _summed(_lower(outer, p, out.when), out, _once(p))
+
+
 def _lower(coll: Coll, p: Pair, when: Cond) -> DataFrame:
     """The collection's rows joined with what the body has looked up, and filtered."""
     df = coll.df
@@ -332,7 +406,19 @@ def _lower(coll: Coll, p: Pair, when: Cond) -> DataFrame:
     return df
 
 
-def _summed(df: DataFrame, out: Emit | Total) -> Any:
+class Both(tuple):
+    """A record of a total and sums by key, whose fields are collections: ``total`` and ``groups``, or by place."""
+
+    total = property(lambda self: self[0])
+    groups = property(lambda self: self[1])
+
+
+def _once(p: Pair) -> bool:
+    """Whether no lookup can have multiplied rows."""
+    return all(x._index.unique or not x._read for x in p._lookups.values())
+
+
+def _summed(df: DataFrame, out: Emit | Total, once: bool = True) -> Any:
     if isinstance(out, Total):
         named = df.select(*(_col(v).alias(k) for k, v in out.value.items()))
         sums = []
@@ -340,14 +426,14 @@ def _summed(df: DataFrame, out: Emit | Total) -> Any:
             zero = F.lit(False) if isinstance(f.dataType, T.BooleanType) else F.lit(0)
             sums.append(F.coalesce(_add(k, None, f.dataType), zero).alias(k))
         total = Coll(named.agg(*sums), [], list(out.value), unique=True, small=True)
-        return (total, _summed(df, out.extra)) if out.extra else total
+        return Both((total, _summed(df, out.extra, once))) if out.extra else total
     keys, values = list(out.key), list(out.value)
     names = {k: _col(v).alias(k) for k, v in out.key.items()} | {k: _col(v).alias(k) for k, v in out.value.items()}
     if len(names) < len(keys) + len(values):
         raise ValueError(f"names in key and value: {sorted(set(keys) & set(values))}")
     flat = df.select(*names.values())
     if out.unique:
-        return Coll(flat, keys, values, unique=True)
+        return Coll(flat, keys, values, unique=once)
     if not values:
         return Coll(flat.distinct(), keys, unique=True)
     kinds = {f.name: f.dataType for f in flat.schema}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
 from ..operators import relalg, semiring
-from ..sources.text import date, from_rows, read_csv, string
+from ..sources.text import Result, date, from_rows, read_csv, string
 from .coll import Coll, both, emit, nested, rec, scalar, vector
+from .declared import Session, declared
 from .tpch import revenue, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,20 +41,90 @@ _PRICE = "cast(l_extendedprice as decimal(12,2))"
 # Scans and sinks
 
 
+def _place(spark: SparkSession) -> str:
+    """A fresh path that driver and executors share: below the checkpoint folder where one is set. Removed at exit."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/inventory-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001, S110  the session may be gone already
+        pass
+
+
+def _written(spark: SparkSession, rows: DataFrame) -> str:
+    path = _place(spark)
+    rows.write.csv(path, sep="|")
+    return path
+
+
 @query("select o_orderkey, cast(cast(o_orderdate as date) as varchar) as o_orderdate, o_totalprice, substr(o_orderpriority, 1, 5) as o_orderpriority from orders")
 def s1_text_scan(t, spark):
     """Delimited text with a trailing delimiter, declared types, and cut strings."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/text-{uuid.uuid4().hex}"
     rows = t.orders.df.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_totalprice", "o_orderpriority", F.lit(None).cast("string"))
-    rows.write.csv(path, sep="|")
-    orders = read_csv(spark, path, {"o_orderkey": int, "o_orderdate": date, "o_totalprice": float, "o_orderpriority": string(5)})
+    orders = read_csv(spark, _written(spark, rows), {"o_orderkey": int, "o_orderdate": date, "o_totalprice": float, "o_orderpriority": string(5)})
     return orders.result().withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 @query("select distinct l_returnflag, l_linestatus from lineitem")
 def s2_distinct_rows(t, spark):
-    """Some columns, rows as keys of a map."""
-    return Coll(t.lineitem.df.select("l_returnflag", "l_linestatus").distinct(), unique=True)
+    """Some columns of a delimited text, rows as keys of a map."""
+    path = _written(spark, t.lineitem.df.select("l_orderkey", "l_returnflag", "l_quantity", "l_linestatus"))
+    record = {"l_orderkey": int, "l_returnflag": string(1), "l_quantity": float, "l_linestatus": string(1)}
+    return read_csv(spark, path, record, include=["l_returnflag", "l_linestatus"], distinct=True)
+
+
+@query("select o_custkey, sum(n) as lines from (select l_orderkey, count(*) as n from lineitem group by 1) join orders on o_orderkey = l_orderkey group by 1")
+def s6_result_as_input(t, spark):
+    """A declared query's result, written once and bound to a name, is an input of the next."""
+
+    @declared(li={"l_orderkey": int})
+    def lines(li):
+        return li.sum(lambda p: emit({"l_orderkey": p.l_orderkey}, {"n": 1}))
+
+    @declared(counts={"l_orderkey": int, "n": int}, orders={"o_orderkey": int, "o_custkey": int})
+    def by_customer(counts, orders):
+        index = orders.join_build("o_orderkey", out=["o_custkey"])
+        return counts.sum(lambda p: emit({"o_custkey": p.look(index, p.l_orderkey).o_custkey}, {"lines": p.n}))
+
+    session = Session(spark, {"lineitem": t.lineitem, "orders": t.orders})
+    session.run(lines, name="counts", path=_place(spark), li="lineitem")
+    return session.run(by_customer)
+
+
+@query("select cast(sum(l_quantity) as double) as total from lineitem")
+def s7_scalar(t, spark):
+    """A total as a number on the client, and back as a row."""
+    total = Result(t.lineitem.sum(lambda p: scalar(p.l_quantity))).scalar()
+    return spark.createDataFrame([(total,)], "total double")
+
+
+@query("select r_name, count(*) as nations, 'AFRICA' = r_name as first_ from nation join region on r_regionkey = n_regionkey group by all")
+def s9_export(t, spark):
+    """A result as a dictionary on the client (a map of fixed size), changed there, and bound again."""
+    names = t.region.join_build("r_regionkey", out=["r_name"], checked=True)
+    counts = t.nation.sum(lambda p: emit({"r_name": p.look(names, p.n_regionkey).r_name}, {"nations": 1}))
+    entries = Result(counts).to_dict()
+    return Result.from_dict(spark, {k: (*v, k == ("AFRICA",)) for k, v in entries.items()}, {"r_name": str}, {"nations": int, "first_": bool}).coll
+
+
+@query("select r_regionkey::bigint as k, case r_regionkey when 2 then 'changed' else r_name end as name from region union all select 9, 'new'")
+def s10_get_set(t, spark):
+    """Point lookup, and entries replaced and added."""
+    r = Result(t.region.sum(lambda p: emit({"k": p.r_regionkey.cast("long")}, {"name": p.r_name}, unique=True)))
+    if r.get(2) is None or r.get(77) is not None:
+        raise ValueError("regions 0 to 4 are expected")
+    return r.set(spark, (2,), ("changed",)).set(spark, (9,), ("new",)).coll
+
+
+@query("select (select count(*) from region) as n, (select count(*) from nation) as m")
+def s11_size(t, spark):
+    return spark.createDataFrame([(Result(t.region).size(), Result(t.nation).size())], "n long, m long")
 
 
 @query("select * from (values (1, 'a'), (2, 'b')) v(k, name)")
@@ -142,7 +214,24 @@ def o13_nested_loop(t, spark):
     """Goes through each order's nested map of flags."""
     lines = t.lineitem.sum(lambda p: emit({"l_orderkey": p.l_orderkey}, nested({"l_returnflag": p.l_returnflag}, {"n": 1, "quantity": p.l_quantity})))
     status = t.orders.join_build("o_orderkey", out=["o_orderstatus"])
-    return lines.sum(lambda p: emit({"l_returnflag": p.l_returnflag}, {"n": p.n, "done": F.when(p.look(status, p.l_orderkey).o_orderstatus == "F", p.quantity).otherwise(0.0)}))
+
+    def body(p):
+        done = p.look(status, p.l_orderkey).o_orderstatus == "F"
+        return p.inner.sum(lambda q: emit({"l_returnflag": q.l_returnflag}, {"n": q.n, "done": F.when(done, q.quantity).otherwise(0.0)}))
+
+    return lines.nest("l_returnflag").sum(body)
+
+
+@query("select kinds, count(*) as orders, sum(n)::bigint as lines from (select l_orderkey, count(distinct l_returnflag) as kinds, count(*) as n from lineitem group by 1) group by 1")
+def o13_inner_total(t, spark):
+    """A body that adds up each order's nested map to numbers, by which it then groups."""
+    lines = t.lineitem.sum(lambda p: emit({"l_orderkey": p.l_orderkey}, nested({"l_returnflag": p.l_returnflag}, {"n": 1})))
+
+    def body(p):
+        inner = p.inner.sum(lambda q: rec(kinds=1, n=q.n))
+        return emit({"kinds": inner.kinds}, {"orders": 1, "lines": inner.n})
+
+    return lines.nest("l_returnflag").sum(body)
 
 
 @query("select l_orderkey, cast(sum(l_linenumber) as bigint) as numbers from lineitem group by 1")
@@ -151,6 +240,13 @@ def o14_vector_fold(t, spark):
     return items.finish(lambda p: {"l_orderkey": p.l_orderkey, "numbers": semiring.fold(p.v, F.lit(0).cast("long"))})
 
 
+@query("select l_orderkey, coalesce(sum(l_linenumber * l_linenumber) filter (where l_linenumber > 1), 0)::bigint as squares, bool_or(l_linenumber > 6) as long_ from lineitem group by 1")
+def o14_vector_sum(t, spark):
+    """The sum over a vector of what a body makes of each item that fulfils a condition."""
+    items = t.lineitem.sum(lambda p: emit({"l_orderkey": p.l_orderkey}, {"v": vector(p.l_linenumber.cast("long"), bag=True)}))
+    return items.finish(lambda p: {"l_orderkey": p.l_orderkey, "squares": semiring.vector_sum(p.v, lambda x: x * x, lambda x: x > 1, "long"), "long_": semiring.vector_sum(p.v, lambda x: x > 6, kind="boolean")})
+
+
 @query("select l_suppkey, max(n) as most from (select l_suppkey, l_returnflag, count(*) as n from lineitem group by all) group by 1")
 def o15_inner_map(t, spark):
     inner = t.lineitem.sum(lambda p: emit({"l_suppkey": p.l_suppkey}, nested({"l_returnflag": p.l_returnflag}, {"n": 1})))
@@ -167,13 +263,13 @@ def o16_chained_sums(t, spark):
 
 @query("""select o_orderkey, case when o_totalprice > 1000 and not o_orderstatus = 'F' then 1.5 else 0.0 end as flagged, -o_custkey as negative,
   o_totalprice / 4.0 as quarter, o_custkey // 7 as whole, cast(o_custkey as double) as promoted, cast(o_custkey as varchar) as said
-from orders where (o_orderstatus = 'O' or o_orderstatus = 'F') and o_custkey <> 3 and o_orderkey >= 10 and o_orderkey <= 4000""")
+from orders where (o_orderstatus = 'O' or o_orderstatus = 'F') and o_custkey <> 3 and o_totalprice >= 1000 and o_totalprice <= 400000""")
 def e1_expressions(t, spark):
     """Filters, conditionals, comparisons, logic, arithmetic, promotion."""
     return t.orders.sum(lambda p: emit({
         "o_orderkey": p.o_orderkey, "flagged": F.when((p.o_totalprice > 1000) & ~(p.o_orderstatus == "F"), 1.5).otherwise(0.0), "negative": -p.o_custkey,
         "quarter": p.o_totalprice / 4.0, "whole": fn.int_divide(p.o_custkey, F.lit(7)), "promoted": fn.promote(p.o_custkey), "said": fn.to_string(p.o_custkey),
-    }, when=((p.o_orderstatus == "O") | (p.o_orderstatus == "F")) & (p.o_custkey != 3) & (p.o_orderkey >= 10) & (p.o_orderkey <= 4000), unique=True))
+    }, when=((p.o_orderstatus == "O") | (p.o_orderstatus == "F")) & (p.o_custkey != 3) & (p.o_totalprice >= 1000) & (p.o_totalprice <= 400000), unique=True))
 
 
 @query("select c_custkey, c_name, c_nationkey, c_acctbal from customer")
@@ -189,9 +285,42 @@ def e19_membership_value(t, spark):
     return t.orders.sum(lambda p: emit({"o_orderkey": p.o_orderkey, "hit": p.look(index, p.o_orderkey).flag()}, unique=True))
 
 
+@query("select o_orderkey, exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') as hit, not exists (select 1 from lineitem where l_orderkey = o_orderkey) as none_ from orders")
+def e19_found_value(t, spark):
+    """Guards themselves as values."""
+    flagged, any_ = t.lineitem.join_build("l_orderkey", lambda p: p.l_returnflag == "R"), t.lineitem.join_build("l_orderkey")
+    return t.orders.sum(lambda p: emit({"o_orderkey": p.o_orderkey, "hit": p.look(flagged, p.o_orderkey).found, "none_": p.look(any_, p.o_orderkey).missing}, unique=True))
+
+
+@query("select o_orderkey, o_custkey % 7 as rest, cast(power(o_custkey, 2) as double) as square from orders")
+def e12_modulo_power(t, spark):
+    return t.orders.sum(lambda p: emit({"o_orderkey": p.o_orderkey, "rest": p.o_custkey % 7, "square": p.o_custkey**2}, unique=True))
+
+
+@query("select l_returnflag, sum(l_quantity) as q from lineitem group by 1")
+def e17_empty_map(t, spark):
+    """The empty map is neutral in addition."""
+    sums = t.lineitem.sum(lambda p: emit({"l_returnflag": p.l_returnflag}, {"q": p.l_quantity}))
+    return semiring.add(sums, semiring.empty(spark, "l_returnflag string, q double", ["q"]))
+
+
+@query("select l_suppkey, sum(l_quantity) as q from lineitem group by 1")
+def f10_dense(t, spark):
+    """Hints of dense and unique keys change nothing in the result."""
+    return t.lineitem.sum(lambda p: emit({"l_suppkey": fn.dense(1000, fn.unique(p.l_suppkey))}, {"q": p.l_quantity}))
+
+
 # Joins
 
 
+@query("select distinct o_orderkey, l_suppkey from orders join lineitem on l_orderkey = o_orderkey")
+def j1_repeated_keys(t, spark):
+    """A probe of repeated keys gives each of their values, and doesn't claim that the result's keys are unique."""
+    index = t.lineitem.join_build("l_orderkey", out=["l_suppkey"])
+    found = t.orders.join_probe(index, "o_orderkey", None, lambda v, p: emit({"o_orderkey": p.o_orderkey, "l_suppkey": v.l_suppkey}, unique=True))
+    return relalg.dom(found)
+
+
 @query("select s_suppkey, n_name from supplier join nation on n_nationkey = s_nationkey where s_acctbal > 0")
 def j1_build_probe(t, spark):
     nation = t.nation.join_build("n_nationkey", out=["n_name"], checked=True)
@@ -302,9 +431,9 @@ def _pairs(t, low: int, high: int) -> Coll:
 _PAIRS = "select distinct l_partkey, l_returnflag from lineitem where l_quantity between {} and {}"
 
 
-@query("select distinct l_partkey, l_returnflag from lineitem where l_quantity between 1 and 2 and l_partkey > 5")
+@query("select distinct l_partkey, l_returnflag from lineitem where l_partkey > 5")
 def u1_selection(t, spark):
-    return relalg.selection(lambda r: r.l_partkey > 5, _pairs(t, 1, 2))
+    return relalg.selection(lambda r: r.l_partkey > 5, _pairs(t, 0, 50))
 
 
 @query("select distinct l_suppkey + 1 as next from lineitem")
@@ -312,9 +441,9 @@ def u2_projection(t, spark):
     return relalg.projection(lambda r: {"next": r.l_suppkey + 1}, t.lineitem)
 
 
-@query(f"{_PAIRS.format(1, 2)} union {_PAIRS.format(2, 3)}")
+@query(f"{_PAIRS.format(0, 30)} union {_PAIRS.format(20, 50)}")
 def u3_union(t, spark):
-    return relalg.union(_pairs(t, 1, 2), _pairs(t, 2, 3))
+    return relalg.union(_pairs(t, 0, 30), _pairs(t, 20, 50))
 
 
 @query("select l_returnflag, count(*) as value from (select l_returnflag from lineitem union all select l_returnflag from lineitem where l_quantity < 5) group by 1")
@@ -323,14 +452,14 @@ def u3_bag_union(t, spark):
     return relalg.bag_union(*(semiring.multiplicities(c.df.select("l_returnflag")) for c in (t.lineitem, few)))
 
 
-@query(f"{_PAIRS.format(1, 2)} intersect {_PAIRS.format(2, 3)}")
+@query(f"{_PAIRS.format(0, 30)} intersect {_PAIRS.format(20, 50)}")
 def u4_intersection(t, spark):
-    return relalg.intersection(_pairs(t, 1, 2), _pairs(t, 2, 3))
+    return relalg.intersection(_pairs(t, 0, 30), _pairs(t, 20, 50))
 
 
-@query(f"{_PAIRS.format(1, 2)} except {_PAIRS.format(2, 3)}")
+@query(f"{_PAIRS.format(0, 30)} except {_PAIRS.format(20, 50)}")
 def u5_difference(t, spark):
-    return relalg.difference(_pairs(t, 1, 2), _pairs(t, 2, 3))
+    return relalg.difference(_pairs(t, 0, 30), _pairs(t, 20, 50))
 
 
 @query("select distinct l_suppkey from lineitem")
@@ -378,6 +507,14 @@ def u12_zero(t, spark):
     return spark.range(1).select(*(semiring.zero(k).alias(c) for c, k in kinds.items()))
 
 
+@query("select date '1970-01-01' as d, timestamp '1970-01-01' as t, cast(0 as integer) as i, cast(0 as double) as m, '' as v, 0 as n")
+def u12_zero_all(t, spark):
+    """Zeros of dates, times, small and exact numbers, text of bounded length, vectors (their size)."""
+    kinds = {"d": "date", "t": "timestamp_ntz", "i": "int", "m": "decimal(12,2)", "v": "string"}
+    columns = [semiring.zero(k).alias(c) for c, k in kinds.items()]
+    return spark.range(1).select(*columns, F.size(semiring.zero("array<date>")).alias("n")).withColumn("m", F.col("m").cast("double"))
+
+
 # Scalar functions
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import contains, ends_with, extract_year, money, share, starts_with, substr, yyyymmdd
-from ..operators.semiring import highest, lowest
+from ..operators.semiring import beside, highest
 from ..sources.text import read_parquet
-from .coll import VALUE, Coll, both, emit, nested, rec, scalar
+from .coll import VALUE, Coll, emit, nested, rec, scalar
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 #: Names of the two nations that queries ask for.
@@ -99,12 +99,13 @@ def _q2(t, least: bool) -> Coll:
     supp = t.supplier.join_probe(nation, "s_nationkey", None, lambda v, p: emit({"s_suppkey": p.s_suppkey}, {"s_acctbal": p.s_acctbal, "s_name": p.s_name, "n_name": v.n_name}, unique=True))
     parts = t.part.join_build("p_partkey", lambda p: (p.p_size == 15) & ends_with(p.p_type, "DARD"))
     offers = ps.sum(lambda p: emit({"ps_partkey": p.ps_partkey, "ps_suppkey": p.ps_suppkey}, {"ps_supplycost": p.ps_supplycost}, when=p.look(parts, p.ps_partkey).found & p.look(supp, p.ps_suppkey).found, unique=True))
-    cost = lowest(offers, ["ps_partkey"], "ps_supplycost") if least else offers.sum(lambda p: emit({"ps_partkey": p.ps_partkey}, {"ps_supplycost": money(p.ps_supplycost)}))
+    cost = F.col("ps_supplycost") if least else money(F.col("ps_supplycost"))
+    offers = beside(offers, ["ps_partkey"], "wanted", F.min(cost) if least else F.sum(cost))
 
     def best(p):
-        s, c = p.look(supp, p.ps_suppkey), p.look(cost, p.ps_partkey)
+        s = p.look(supp, p.ps_suppkey)
         key = {"s_acctbal": s.s_acctbal, "s_name": s.s_name, "n_name": s.n_name, "p_partkey": p.ps_partkey}
-        return emit(key, when=s.found & c.found & (c.ps_supplycost == (p.ps_supplycost if least else money(p.ps_supplycost))), unique=True)
+        return emit(key, when=s.found & (p.wanted == (p.ps_supplycost if least else money(p.ps_supplycost))), unique=True)
 
     return offers.sum(best)
 
@@ -227,13 +228,14 @@ def q9(t):
     parts = t.part.join_build("p_partkey", lambda p: contains(p.p_name, "blue"))
     ps = partsupp(t.lineitem).join_probe(parts, "ps_partkey", None, lambda v, p: emit({"ps_partkey": p.ps_partkey, "ps_suppkey": p.ps_suppkey}, {"n_name": p.look(supp, p.ps_suppkey).n_name, "ps_supplycost": p.ps_supplycost}, unique=True))
     orders = t.orders.sum(lambda p: emit({"o_orderkey": p.o_orderkey}, {"o_orderdate": p.o_orderdate}, unique=True))
+    lines = t.lineitem.where(lambda p: p.look(parts, p.l_partkey).found)
 
     def body(p):
         s = p.look(ps, p.l_partkey, p.l_suppkey)
         key = {"nation": s.n_name, "o_year": extract_year(p.look(orders, p.l_orderkey).o_orderdate)}
         return emit(key, {"sum_profit": revenue(p) - money(s.ps_supplycost) * money(p.l_quantity)}, when=s.found)
 
-    return t.lineitem.sum(body)
+    return lines.sum(body)
 
 
 @query(f"""select c_custkey, c_name, c_acctbal, n_name, cast(sum({_REVENUE}) as double) as revenue
@@ -253,16 +255,14 @@ def q10(t):
   from ps join supplier on s_suppkey = ps_suppkey join nation on n_nationkey = s_nationkey where n_name = '{A}' group by 1)
 select ps_partkey, cast(v as double) as value from v where v > (select sum(v) * 0.0001 from v)""")
 def q11(t):
-    """Parts that make up a share of a nation's stock: a total and sums by part of one body."""
+    """Parts that make up a share of a nation's stock: a total of the sums by part, so that both come from one pass."""
     nation = t.nation.join_build("n_nationkey", lambda p: p.n_name == A)
     supp = t.supplier.join_probe(nation, "s_nationkey", None, lambda v, p: emit({"s_suppkey": p.s_suppkey}, unique=True))
 
-    def body(v, p):
-        stock = money(p.ps_supplycost) * money(p.ps_availqty)
-        return both(stock * F.lit(0.0001).cast("decimal(4,4)"), emit({"ps_partkey": p.ps_partkey}, stock))
-
-    least, parts = partsupp(t.lineitem).join_probe(supp, "ps_suppkey", None, body)
-    return parts.sum(lambda p: emit({"ps_partkey": p.ps_partkey, VALUE: p.count.cast("double")}, when=p.count > least.scalar(), unique=True))
+    ps = partsupp(t.lineitem.where(lambda p: p.look(supp, p.l_suppkey).found))
+    parts = ps.sum(lambda p: emit({"ps_partkey": p.ps_partkey}, money(p.ps_supplycost) * money(p.ps_availqty)))
+    least = parts.sum(lambda p: scalar(p.count)).scalar() * F.lit(0.0001).cast("decimal(4,4)")
+    return parts.sum(lambda p: emit({"ps_partkey": p.ps_partkey, VALUE: p.count.cast("double")}, when=p.count > least, unique=True))
 
 
 @query("""select l_linestatus, cast(sum(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 else 0 end) as bigint) as high_line_count,
@@ -276,9 +276,9 @@ def q12(t):
 
     def body(p):
         high = p.look(urgent, p.l_orderkey).o_orderpriority.isin("1-URGENT", "2-HIGH")
-        return emit({"l_linestatus": p.l_linestatus}, {"high_line_count": F.when(high, p.lines).otherwise(0), "low_line_count": F.when(high, 0).otherwise(p.lines)})
+        return p.inner.sum(lambda q: emit({"l_linestatus": q.l_linestatus}, {"high_line_count": F.when(high, q.lines).otherwise(0), "low_line_count": F.when(high, 0).otherwise(q.lines)}))
 
-    return lines.sum(body)
+    return lines.nest("l_linestatus").sum(body)
 
 
 @query("""select c_count, count(*) as custdist from (select c_custkey, count(o_orderkey) as c_count
@@ -316,8 +316,9 @@ def q16(t):
     """Distinct suppliers by kind of part, but for those in debt (for complaints)."""
     parts = t.part.join_build("p_partkey", lambda p: (p.p_brand != "Brand#12") & ~starts_with(p.p_type, "MEDIUM") & p.p_size.isin(49, 14, 23, 45, 19, 3, 36, 9), ["p_brand", "p_type", "p_size"])
     bad = t.supplier.join_build("s_suppkey", lambda p: p.s_acctbal < 0)
-    sets = partsupp(t.lineitem).join_probe(parts, "ps_partkey", None, lambda v, p: emit(
-        {"p_brand": v.p_brand, "p_type": v.p_type, "p_size": v.p_size}, nested({"ps_suppkey": p.ps_suppkey}), when=p.look(bad, p.ps_suppkey).missing))
+    ps = partsupp(t.lineitem.where(lambda p: p.look(parts, p.l_partkey).found & p.look(bad, p.l_suppkey).missing))
+    sets = ps.join_probe(parts, "ps_partkey", None, lambda v, p: emit(
+        {"p_brand": v.p_brand, "p_type": v.p_type, "p_size": v.p_size}, nested({"ps_suppkey": p.ps_suppkey})))
     return sets.sum(lambda p: emit({"p_brand": p.p_brand, "p_type": p.p_type, "p_size": p.p_size}, {"supplier_cnt": 1}))
 
 
@@ -373,7 +374,8 @@ def q20(t):
         s = p.look(sold, p.ps_partkey, p.ps_suppkey)
         return s.found & (p.ps_availqty > s.half)
 
-    much = partsupp(t.lineitem).join_build("ps_suppkey", excess)
+    mine = t.lineitem.where(lambda p: p.look(parts, p.l_partkey).found & p.look(supp, p.l_suppkey).found)
+    much = partsupp(mine).join_build("ps_suppkey", excess)
     return t.supplier.join_probe(much, "s_suppkey", None, lambda v, p: emit({"s_name": p.s_name}, unique=True))
 
 

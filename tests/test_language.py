@@ -6,8 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ringfold.functions import scalar as fn
-from ringfold.operators import semiring
-from ringfold.plans.coll import Coll, emit, rec, scalar, vector
+from ringfold.operators import relalg, semiring
+from ringfold.plans.coll import Coll, both, emit, rec, scalar, vector
+from ringfold.plans.declared import Session, declared
 from ringfold.sources.bench import benchmark
 from ringfold.sources.text import Result, date, from_rows, read_csv, string
 from ringfold.streaming.fold import sum_stream, to_memory
@@ -138,3 +139,57 @@ def test_laws(spark, x, y, z, s):
     assert values(semiring.add(semiring.add(a, b), c)) == values(semiring.add(a, semiring.add(b, c)))
     assert values(semiring.add(a, semiring.empty(spark, "k string, v long", ["v"]))) == values(a)
     assert values(semiring.scale(s, semiring.add(a, b))) == values(semiring.add(semiring.scale(s, a), semiring.scale(s, b)))
+
+
+def test_guards_as_values(spark):
+    left, index = from_rows(spark, [("a", 7), ("b", 8)], KV), from_rows(spark, [("a", 1), ("a", 2)], KV).join_build("k")
+    got = left.sum(lambda p: emit({"k": p.k, "hit": p.look(index, p.k).found & (p.v > 1), "none": p.look(index, p.k).missing}, unique=True))
+    assert values(got) == [("a", True, False), ("b", False, True)]
+    assert tuple(left.sum(lambda p: rec(any_=p.look(index, p.k).found, both=p.look(index, p.k).found & (p.v > 7))).df.first()) == (True, False)
+
+
+def test_repeated_keys_are_not_claimed_unique(spark):
+    index = from_rows(spark, [("a", 1), ("a", 2)], KV).join_build("k", out=["v"])
+    left = from_rows(spark, [("a", 7)], KV)
+    found = left.join_probe(index, "k", None, lambda v, p: emit({"k": p.k}, {"v": v.v}, unique=True))
+    assert values(found) == [("a", 1), ("a", 2)] and not found.unique
+    assert values(relalg.dom(found)) == [("a",)]
+    assert left.sum(lambda p: emit({"k": p.k}, unique=True)).unique
+
+
+def test_nested_sums(spark):
+    rows = Coll(spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 5)], "k string, i string, v long"), ["k", "i"], ["v"], unique=True)
+    totals = rows.nest("i").sum(lambda p: emit({"k": p.k}, {"most": p.inner.sum(lambda q: scalar(q.v, when=q.v > 1))}, unique=True))
+    assert values(totals) == [("a", 2), ("b", 5)]
+    assert values(rows.nest("i").sum(lambda p: emit({"k": p.k}, p.inner.sum(lambda q: emit({"i": q.i}, {"v": q.v * 2}))))) == [("a", "x", 2), ("a", "y", 4), ("b", "x", 10)]
+    with pytest.raises(ValueError):
+        rows.nest("v")
+    record = rows.sum(lambda p: both(p.v, emit({"k": p.k}, {"v": p.v})))
+    assert record.total.df.first()[0] == 8 and values(record.groups) == [("a", 3), ("b", 5)]
+
+
+def test_declared(spark, tmp_path):
+    @declared(t={"k": str, "v": int})
+    def sums(t):
+        return t.sum(lambda p: emit({"k": p.k}, {"v": p.v}))
+
+    t = from_rows(spark, [("a", 1), ("a", 2)], KV)
+    assert values(sums(t)) == values(sums(t=t)) == [("a", 3)]
+    for wrong in (3, Coll(t.df.select("k"))):
+        with pytest.raises(TypeError):
+            sums(wrong)
+    with pytest.raises(TypeError):
+        declared(other={"k": str})(lambda t: t)
+    with pytest.raises(KeyError):
+        declared(t={"k": "a type"})(lambda t: t)
+    session = Session(spark, {"t": t})
+    kept = session.run(sums, name="sums", path=str(tmp_path / "sums"))
+    assert "FileScan parquet" in plan(kept) and values(session.run(sums, t="sums")) == [("a", 3)]
+    with pytest.raises(KeyError):
+        session.run(sums, t="nothing")
+
+
+def test_vector_sum(spark):
+    v = spark.createDataFrame([([1, 2, 3],), ([],)], "v array<long>")
+    got = v.select(semiring.vector_sum(F.col("v"), lambda x: x * 2, lambda x: x > 1, "long"), semiring.vector_sum(F.col("v"), lambda x: x > 2, kind="boolean")).collect()
+    assert [tuple(r) for r in got] == [(10, True), (0, False)]
