@@ -12,39 +12,14 @@ from pyspark.sql import functions as F
 from .blocks import BLOCK_WORDS, Block, exchange, mix, word_hash
 from .common import kept, remainder, text_of
 
-#: Weight of the shorter history: as many imagined occurrences after each history, dealt by word frequency.
+#: Words of the longest n-gram.
+ORDER = 2
+#: Weight of the shorter history: as many imagined occurrences after each history, dealt as after the shorter one.
 PRIOR = 500.0
 #: Texts' bounds; no word has white space in it.
 START, END = np.uint64(word_hash(b" ")), np.uint64(word_hash(b"\n"))
 
 
-class Automaton:
-    """The part of the corpus's backoff automaton that a block of texts walks through.
-
-    States are the root (no history) and each known word (the history of one word; START begins a text).
-    ``arcs`` are sorted keys of (state, word); an arc's weight is log10 P(word | state) of a pair
-    that the corpus has. Without an arc the failure arc to the root is taken, whose weight is the
-    state's, and from the root every word has an arc, unseen words one in common.
-    """
-
-    def __init__(self, pairs: np.ndarray, pair_counts: np.ndarray, prior: float):
-        self.arcs, self.counts, self.prior = pairs, pair_counts.astype(np.float64), prior
-
-    def walk(self, ends: np.ndarray, state_hash: np.ndarray, state_count: np.ndarray, word: np.ndarray, log_root: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text, all read left to right side by side: the state that is carried into
-        a place is that of the word before it, or the root if the corpus lacks it."""
-        known = state_count > 0
-        key = mix(state_hash, word)
-        at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
-        seen = known & (self.arcs[at] == key)
-        n = np.where(seen, self.counts[at], 0.0)
-        arc = seen & (n > 0)
-        mass = state_count + self.prior
-        through = np.log10((n + self.prior * 10.0**log_root) / mass)
-        failure = np.where(known, np.log10(self.prior / mass), 0.0)
-        return sums(np.where(arc, through, failure + log_root), ends)
-
-
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of consecutive, non-empty parts, each added up by itself."""
     return np.add.reduceat(values, np.concatenate(([0], ends[:-1]))) if len(ends) else np.zeros(0)
@@ -60,63 +35,155 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def _before(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
-    before[np.concatenate(([0], ends[:-1]))] = START
-    return before
+class Grams:
+    """A block's n-grams: of each length j the sorted distinct keys, and which one ends at each place.
+
+    A text is read as START and its tokens, so a place has n-grams of j tokens from the text's place j - 2 on;
+    ``where[j]`` are these places, ``which[j]`` the key's number there, ``first[j]`` the first place of each key. A
+    key of j tokens is mixed from that of the j - 1 tokens before the last one, its history, and the last one.
+    """
 
+    def __init__(self, hashes: np.ndarray, ends: np.ndarray, order: int):
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+        self.within = np.arange(len(hashes)) - np.repeat(starts, np.diff(ends, prepend=0))
+        self.keys, self.where, self.which, self.first = [], [], [], []
+        at = hashes
+        for j in range(1, order + 1):
+            if j > 1:
+                before = np.empty_like(at)
+                before[1:] = at[:-1]
+                if j == 2:
+                    before[starts] = START
+                at = mix(before, hashes)
+            where = np.flatnonzero(self.within >= j - 2)
+            keys, first, which = np.unique(at[where], return_index=True, return_inverse=True)
+            full = np.zeros(len(hashes), np.int64)
+            full[where] = which
+            self.keys.append(keys)
+            self.where.append(where)
+            self.which.append(full)
+            self.first.append(where[first])
 
-def _ask(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
-    hashes, ends = tokens(block)
-    trained = np.repeat(block.flags, np.diff(ends, prepend=0)).astype(np.float64)
-    out = []
-    for keys in (hashes, mix(_before(hashes, ends), hashes)):
-        distinct, at = np.unique(keys, return_inverse=True)
-        out.append((distinct, np.bincount(at, trained, len(distinct)).astype(np.uint32)))
-    return out
+
+class Automaton:
+    """The part of the corpus's backoff automaton that a block of texts walks through.
+
+    States are the histories that the corpus has: the root (none), START, and each n-gram of fewer than ``order``
+    tokens that it counts. A state has an arc for each token that the corpus has after its history, with
+    log10 P(token | history), to the state of the longest known history then. For all other tokens it has a failure
+    arc, to the state of its history without the first token, with the weight that the shorter history has. The
+    root has an arc for every token, unseen ones too. Discounting is linear: a history of c occurrences keeps
+    c / (c + prior) of its mass for what it has been followed by, so each state's probabilities add up to one.
+    """
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], log_root: np.ndarray, texts: float, priors: list[float]):
+        """counts: corpus counts of the keys of each length; log_root: log10 P of the keys of one token; texts: the
+        corpus's texts, which are START's occurrences."""
+        order = len(counts)
+        self.words = len(grams.keys[0])
+        # State numbers: 0 root, 1 START, then the keys of 1, 2, ... tokens.
+        base = np.cumsum([2] + [len(k) for k in grams.keys[: order - 1]]).tolist()
+        self.base, self.log_root = base, log_root.tolist()
+        size = base[-1]
+        fail_to, fail = np.zeros(size, np.int64), np.zeros(size)
+        p, arcs, weights, targets = 10.0**log_root, [], [], []
+        self.root_to = np.where(counts[0] > 0, base[0] + np.arange(self.words), 0).tolist() if order > 1 else [0] * self.words
+        for j in range(2, order + 1):
+            first, own, prior = grams.first[j - 1], counts[j - 1].astype(np.float64), priors[j - 2]
+            opens = (grams.within[first] == 0) if j == 2 else np.zeros(len(first), bool)
+            shorter = grams.which[j - 2][first - 1]  # the history, where it isn't START
+            held = np.where(opens, texts, counts[j - 2][shorter]) if j == 2 else counts[j - 2][shorter].astype(np.float64)
+            p = (own + prior * p[grams.which[j - 2][first]]) / (held + prior)
+            state = np.where(opens, 1, base[j - 2] + shorter)
+            real = own > 0
+            arcs.append((state * self.words + grams.which[0][first])[real])
+            weights.append(np.log10(p[real]))
+            last = base[j - 1] + np.arange(len(first)) if j < order else base[j - 2] + grams.which[j - 2][first]
+            targets.append(last[real])
+            # The histories of j - 1 tokens fail to those of j - 2.
+            n = counts[j - 2].astype(np.float64)
+            mine = slice(base[j - 2], base[j - 2] + len(n))
+            fail[mine] = np.log10(prior / (n + prior))
+            fail_to[mine] = base[j - 3] + grams.which[j - 3][grams.first[j - 2]] if j > 2 else 0
+            if j == 2:
+                fail[1] = np.log10(prior / (texts + prior))
+        keys = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
+        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.weights = (np.concatenate(weights) if weights else np.zeros(0)).tolist()
+        self.targets = (np.concatenate(targets) if targets else np.zeros(0, np.int64)).tolist()
+        self.fail, self.fail_to = fail.tolist(), fail_to.tolist()
+
+    def walk(self, words: list[int], ends: list[int]) -> list[float]:
+        """Log10 probability of each text: one walk from left to right that carries the state."""
+        arcs, weights, targets, fail, fail_to, words_ = self.arcs.get, self.weights, self.targets, self.fail, self.fail_to, self.words
+        log_root, root_to, out, at = self.log_root, self.root_to, [], 0
+        for end in ends:
+            state, total = 1, 0.0
+            for w in words[at:end]:
+                arc = arcs(state * words_ + w)
+                while arc is None and state:
+                    total += fail[state]
+                    state = fail_to[state]
+                    arc = arcs(state * words_ + w)
+                if arc is None:
+                    total += log_root[w]
+                    state = root_to[w]
+                else:
+                    total += weights[arc]
+                    state = targets[arc]
+            out.append(total)
+            at = end
+        return out
 
 
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, prior: float = PRIOR, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Scores every whole text under a bigram model of the texts whose crc32(id) modulo ``folds`` isn't ``held``.
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, prior: float | tuple[float, ...] = PRIOR, block_words: int = BLOCK_WORDS, order: int = ORDER) -> DataFrame:
+    """Scores every whole text under an n-gram model of the texts whose crc32(id) modulo ``folds`` isn't ``held``.
 
     Tokens are lower-cased (A-Z) words and one end. P(w) = (c(w)+1) / (N+V+1); P(w | h) =
-    (c(h w) + prior P(w)) / (c(h) + prior) for a known history, else P(w). As an automaton: an arc for each
-    pair of the corpus, a failure arc of weight prior / (c(h) + prior) for the rest. All counts are exact and
-    of the whole corpus; the automaton is never held in one place, as each block of texts gets the
-    states and arcs that it walks through (see blocks).
+    (c(h w) + prior P(w | h')) / (c(h) + prior), where h' is h without its first token and prior may differ by
+    the length of h. As an automaton: an arc for each n-gram of the corpus of 2 to ``order`` tokens, a failure arc of
+    weight prior / (c(h) + prior) to h' for the rest. All counts are exact and of the whole corpus; the
+    automaton is never held in one place, as each block of texts gets the states and arcs that it walks through (see
+    blocks), and then reads its texts from left to right.
 
     Null or empty text: the end alone. Null ids count as the empty id in the fold rule; repeated rows are learnt
     and scored each; texts of any length are read in full (a block holds one text at least);
     extra columns are ignored; an empty table gives no rows. With no training text N and V are 0.
     """
+    priors = [float(prior)] * (order - 1) if isinstance(prior, (int, float)) else [float(x) for x in prior]
+    if order < 1 or len(priors) != order - 1 or min(priors, default=1.0) <= 0:
+        raise ValueError(f"order {order} takes {order - 1} priors above 0, not {prior}")
     fold = remainder(id_col, folds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), (fold != held).cast("int").alias("flag"))
     totals: list[tuple[int, int]] = []
 
+    def ask(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
+        hashes, ends = tokens(block)
+        grams = Grams(hashes, ends, order)
+        trained = np.repeat(block.flags, np.diff(ends, prepend=0)).astype(np.float64)
+        return [(k, np.bincount(which[where], trained[where], len(k)).astype(np.uint32)) for k, which, where in zip(grams.keys, grams.which, grams.where, strict=True)]
+
     def answer(block: Block, told: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        (v, n), counts = totals[0], told[0].astype(np.float64)
+        v, n = totals[0]
         hashes, ends = tokens(block)
-        before = _before(hashes, ends)
-        known, at = np.unique(hashes, return_inverse=True)
-        pairs = np.unique(mix(before, hashes))
-        if len(known) != len(counts) or len(pairs) != len(told[1]):
-            raise RuntimeError("a block's texts changed between two reads of the input")
-        count = counts[at]
-        log_root = np.log10((count + 1) / (n + v + 1))
-        texts = counts[np.searchsorted(known, END)]
-        starts = np.concatenate(([0], ends[:-1]))
-        history = np.empty_like(count)
-        history[1:] = count[:-1]
-        history[starts] = texts
-        score = Automaton(pairs, told[1], prior).walk(ends, before, history, hashes, log_root)
+        grams = Grams(hashes, ends, order)
+        told = [*told, *(np.zeros(0, "<u4") for _ in range(order - len(told)))]
+        if any(len(k) != len(t) for k, t in zip(grams.keys, told, strict=True)):
+            raise RuntimeError("a block has another number of n-grams than it has asked about")
+        counts = told[0].astype(np.float64)
+        log_root = np.log10((counts + 1) / (n + v + 1))
+        texts = counts[np.searchsorted(grams.keys[0], END)]
+        words = grams.which[0]
+        score = Automaton(grams, told, log_root, float(texts), priors).walk(words.tolist(), ends.tolist())
         size = np.diff(ends, prepend=0)
-        k = len(ends)
-        columns = [pa.array(block.doc_ids, pa.int64()), pa.array(block.flags == 0), pa.array(size), pa.array(sums((count > 0).astype(np.int64), ends)), pa.array([n] * k, pa.int64()), pa.array(sums(log_root, ends)), pa.array(score)]
+        columns = [
+            pa.array(block.doc_ids, pa.int64()), pa.array(block.flags == 0), pa.array(size), pa.array(sums((counts > 0)[words].astype(np.int64), ends)),
+            pa.array([n] * len(ends), pa.int64()), pa.array(sums(log_root[words], ends)), pa.array(score, pa.float64()),
+        ]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     # The totals are known before the last step's function is shipped.
-    return exchange(rows, _ask, answer, _SCHEMA, lambda df: kept(df, "counts"), block_words, totals)
+    return exchange(rows, ask, answer, _SCHEMA, lambda df: kept(df, "counts"), block_words, totals)
