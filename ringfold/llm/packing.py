@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 WINDOW = 1024
-#: Partially filled windows that a task keeps at most; beyond it pieces are cut to fill them up.
-MAX_OPEN = 256
 #: The tokenizer's own splitting of texts before merges, as published with its vocabulary (a fixed value).
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer texts are looked over for runs without white space, and longer runs go to the slower
@@ -72,7 +70,7 @@ class Packer:
     becomes least; of equal choices the fullest window wins.
     """
 
-    def __init__(self, window: int, max_open: int, first_id: int):
+    def __init__(self, window: int, max_open: int | None, first_id: int):
         self.window, self.max_open, self.next = window, max_open, first_id
         self.levels = np.zeros(window + 1, dtype=np.int64)
         #: Open windows by level, each the list of its pieces (doc, start, ids, doc_tokens).
@@ -111,7 +109,7 @@ class Packer:
         self.open.setdefault(level + size, []).append(pieces)
         n[level + size] += 1
         self.count += 1
-        if self.count > self.max_open:
+        if self.max_open is not None and self.count > self.max_open:
             yield from self.settle(end=False)
 
     def settle(self, end: bool = True) -> Iterator[tuple]:
@@ -150,15 +148,16 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, max_open: int = MAX_OPEN, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, max_open: int | None = None, added: bool = False) -> DataFrame:
     """Packs all documents into sequences of at most ``window`` tokens; a row for each piece.
 
     A document is its text's token ids (``added``: see Encoder) and one ``end_id``. Each task packs its own
     partition online: whole windows of a long document become sequences of their own, the
-    rest goes to the fill level that the sum-of-squares rule picks. At most ``max_open``
-    windows are partial at a time, and one sequence of a task at its end. No shuffle.
+    rest goes to the fill level that the sum-of-squares rule picks. What is partial at a task's end is cut
+    and filled up, which leaves one padded sequence a task. Open windows hold less than the task's own
+    tokens; ``max_open`` bounds them where that is wanted, by filling them up earlier. No shuffle.
 
-    Null or empty text: only the end id. Null ids stay null; repeated rows are packed each for
+    Null or empty text: only the end id; texts of any length are encoded whole. Null ids stay null; repeated rows are packed each for
     itself; ties go to the fullest window; other columns are ignored; an empty table gives no rows.
     """
 
