@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.llm.common import kept, table
+from ringfold.llm.common import kept, table, unused
 from ringfold.llm.exact_dedup import content_sort
 from ringfold.llm.jaccard import jaccard_join
 from ringfold.llm.packing import pack
@@ -14,47 +14,62 @@ from ringfold.llm.secrets import find_secrets, redact
 from ringfold.llm.toxicity import drop_toxic
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a number for each row, _row. They are written, so that every later read has the same numbers."""
-    return kept(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs with a number for each row, and its column's name. They are written, so that every later read has the same numbers."""
+    row = unused("row", docs.columns)
+    return kept(docs.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
-def _one_each(docs: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+def _one_each(docs: DataFrame, row: str, groups: DataFrame, name: str) -> DataFrame:
     """Of each group of numbered docs the row of the smallest id stays, of equal ids that of the least number, and
-    a row without id only if no other has one. groups: _row, group; rows not in it stay. The rows that go are
+    a row without id only if no other has one. groups: row, group; rows not in it stay. The rows that go are
     written first, so that their size decides on the join."""
-    members = kept(groups.join(docs.select("_row", "doc_id"), "_row"), name + "_groups")
-    best = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    dropped = kept(members.join(best, "_row", "left_anti").select(F.col("_row").alias("_dropped")), name)
-    return docs.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").drop("_row")
+    members = kept(groups.join(docs.select(F.col(row).alias("row"), "doc_id"), "row"), name + "_groups")
+    best = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    gone = unused("gone", docs.columns)
+    dropped = kept(members.join(best, "row", "left_anti").select(F.col("row").alias(gone)), name)
+    return docs.join(dropped, F.col(row) == F.col(gone), "left_anti").drop(row)
+
+
+# Every stage takes documents with null ids and texts, empty and very long texts, repeated rows, further columns of any
+# name, and an empty table; all but the last keep the rows' columns as they are.
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models reject go."""
+    """Documents that the toxicity models reject go. Null and empty texts stay; repeated rows are judged alike."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal texts one stays, that of the smallest id."""
-    rows = _numbered(docs, "exact_rows")
-    return _one_each(rows, content_sort(rows, id_col="_row", keep="smallest").where("group_size > 1").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("group")), "copies")
+    """Of rows with equal texts one stays, that of the smallest id; of equal ids any one, and one without id only if
+    no other has one. Null texts equal empty ones."""
+    rows, row = _numbered(docs, "exact_rows")
+    groups = content_sort(rows.select(F.col(row).alias("row"), "text"), id_col="row", keep="smallest")
+    return _one_each(rows, row, groups.where("group_size > 1").select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")), "copies")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) one row stays, that of the smallest id."""
-    rows = _numbered(docs, "near_rows")
-    return _one_each(rows, jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("group")), "near_copies")
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) one row stays, that of the smallest
+    id, as in exact_dedup. Texts without words are in no group: all of them stay."""
+    rows, row = _numbered(docs, "near_rows")
+    groups = jaccard_join(rows.select(F.col(row).alias("row"), "text"), id_col="row")
+    return _one_each(rows, row, groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), "near_copies")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts give way to marks of their kind; n_chars follows. All documents stay."""
-    found = find_secrets(docs).withColumn("text", redact(F.col("text"), F.col("secret_spans")))
-    changed = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", changed).select(*docs.columns)
+    """Secrets in texts give way to marks of their kind; n_chars, where there is one, follows. All rows stay, and null
+    texts stay null."""
+    mine = unused("spans", docs.columns)
+    plain = docs.withColumnRenamed("secret_spans", mine) if "secret_spans" in docs.columns else docs
+    found = find_secrets(plain).withColumn("text", redact(F.col("text"), F.col("secret_spans")))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", changed)
+    return found.select(*(F.col(mine).alias(c) if c == "secret_spans" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become token windows."""
+    """Texts become token windows: a row for each piece, null and empty texts with the end token alone."""
     return pack(docs, public_tokenizer(), added=True)
 
 

@@ -60,7 +60,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     trainer's loss covers) and round_trip (parsed equals the source).
 
     Each turn is rendered as it is, parsed and compared with its source; where they differ, its text
-    and role are escaped once more and tried again, ``rounds`` times at most; one round always suffices.
+    and role are escaped once more and tried again, ``rounds`` times at most; one round always suffices, and a
+    turn that none fits (with rounds=0) is an error.
     The whole conversation is then parsed once more and compared. DataFrame functions only.
 
     Null role and text: empty. Turns of one number are ordered by role, then text; null numbers come
@@ -75,7 +76,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         tries.append((render_turn(role, text), text))
         role, text = escape(role), escape(text)
     same = lambda shown: F.size(F.split(shown, EOS, -1)) == 2, lambda shown: parse(shown)[0] == source
-    shown = F.coalesce(*(F.when(same[0](t) & same[1](t), F.struct(t.alias("shown"), F.length(x).alias("n"))) for t, x in tries))
+    shown = F.coalesce(*(F.when(same[0](t) & same[1](t), F.struct(t.alias("shown"), F.length(x).alias("n"))) for t, x in tries), F.raise_error(F.lit("a turn doesn't fit the grammar, however often it is escaped")).cast("struct<shown:string,n:int>"))
     rows = rows.withColumn("out", shown).select("conv_id", "turn", "role", "text", "out.shown", "out.n")
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     end = F.sum(F.length("shown").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))

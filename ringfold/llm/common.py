@@ -75,6 +75,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that isn't among the given ones."""
+    name, taken = f"_{name}", {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(c: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

@@ -10,7 +10,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, text_of
+from .common import kept, text_of, unused
 
 
 @dataclass(frozen=True)
@@ -179,33 +179,36 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     verified by its expression. Rules without mandatory trigrams scan all texts. DataFrame
     functions only. The candidates are written, so that their size is known when they are joined.
 
-    Null text: no spans. Null ids are candidates together; rows of one id are verified each by its own text, so
-    repeated rows give equal results; the input's other columns are kept, but for clashes with secret_spans,
-    which is replaced. An empty table gives no rows.
+    Null text: no spans; texts of any length are scanned whole. Null ids are candidates together; rows of one id are
+    verified each by its own text, so repeated rows give equal results; the input's other columns are kept, but
+    for one named secret_spans, which is replaced. An empty table gives no rows.
     """
     rows = docs.drop("secret_spans")
+    key, mask = unused("secret_id", rows.columns), unused("secret_rules", rows.columns)
     found, bits = candidates(rows.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), rules)
-    found = kept(found, "candidates").select(F.col("doc_id").alias("_secret_id"), F.col("rules").alias("_secret_rules"))
-    joined = rows.join(found, rows[id_col].eqNullSafe(found["_secret_id"]), "left")
+    found = kept(found, "candidates").select(F.col("doc_id").alias(key), F.col("rules").alias(mask))
+    joined = rows.join(found, rows[id_col].eqNullSafe(found[key]), "left")
     text, none = text_of(rows[text_col]), F.array().cast(_SPAN)
     parts = []
     for k, rule in enumerate(rules):
-        likely = F.col("_secret_rules").bitwiseAND(F.lit(bits[k])) != 0 if k in bits else text.rlike(rule.pattern)
+        likely = F.col(mask).bitwiseAND(F.lit(bits[k])) != 0 if k in bits else text.rlike(rule.pattern)
         parts.append(F.when(likely, _spans(text, k, rule)).otherwise(none))
-    return joined.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("_secret_id", "_secret_rules")
+    return joined.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop(key, mask)
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each secret replaced by ``[kind]``; of overlapping ones the first names the place."""
-
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """The text with each secret replaced by ``[kind]``; of overlapping ones the first names the place.
+    Spans are sorted; what each leaves of the text before it is one part, and the parts are joined once."""
+    none = F.array().cast("array<struct<from:int,to:int,mark:string>>")
+    end_before = F.aggregate(
+        spans, F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("from"), F.greatest(s["start"], acc["at"]).alias("to"), F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("").alias("mark")))).alias("out")),
+        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("from"), F.length(text).alias("to"), F.lit("").alias("mark")))),
+    )
+    parts = F.transform(end_before, lambda p: F.concat(F.substring(text, p["from"] + 1, p["to"] - p["from"]), p["mark"]))
+    return F.when(F.size(spans) > 0, F.array_join(parts, "")).otherwise(text)
 
 
 def span_list(spans: Column) -> Column:

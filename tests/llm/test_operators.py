@@ -102,6 +102,35 @@ def test_lm(docs, none):
     assert lm.score_texts(none).count() == 0
 
 
+@pytest.mark.parametrize("order, priors", [(1, ()), (3, (5.0, 2.0)), (4, (3.0, 2.0, 0.5))])
+def test_lm_orders(docs, order, priors):
+    """Longer n-grams against the formula, without automaton; after each history the probabilities add up to one."""
+    rows = texts()
+    c = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
+            w = (b" ", *words(t), b"\n")
+            c.update(w[k : k + j] for j in range(1, order + 1) for k in range(1 if j == 1 else 0, len(w) - j + 1))
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    seen = lambda h: c[b"\n",] if h == (b" ",) else c[h]
+
+    def p(h, x):
+        if not h:
+            return (c[x,] + 1) / (n + v + 1)
+        return (c[(*h, x)] + priors[len(h) - 1] * p(h[1:], x)) / (seen(h) + priors[len(h) - 1])
+
+    want = collections.Counter()
+    for i, t in rows:
+        w = (b" ", *words(t), b"\n")
+        want[i, round(sum(math.log10(p(w[max(0, k - order + 1) : k], w[k])) for k in range(1, len(w))), 4)] += 1
+    got = collections.Counter((r.doc_id, round(r.score, 4)) for r in lm.score_texts(docs, block_words=200, order=order, prior=priors).collect())
+    assert got == want
+    if order == 3:
+        vocabulary = [g[0] for g in c if len(g) == 1]
+        for h in ((), (b" ",), (b"one",), (b" ", b"two"), (b"long7", b"long8"), (b"never", b"seen")):
+            assert sum(p(h, x) for x in vocabulary) + p(h, b"unseen") == pytest.approx(1)
+
+
 def test_totals_beyond_32_bits(spark):
     """Blocks get corpus totals in full, though each block's own counts fit 32 bits."""
     import numpy as np
@@ -180,6 +209,49 @@ def test_jaccard_boundaries(spark, monkeypatch, small):
     assert sorted(got, key=repr) == brute_groups(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [10, 34, 50, 100])
+@pytest.mark.parametrize("small", [0, 8, 128])
+def test_jaccard_of_few_words(spark, monkeypatch, percent, small):
+    """Sets that link by one common element, or by all of them, whatever the boundary."""
+    monkeypatch.setattr(jaccard, "boundary", lambda reps: small)
+    rows = [(1, "a"), (2, "a b"), (3, "a b c"), (4, "c d e f g h i j k l"), (5, "l"), (6, "m n"), (7, "n o"), (8, "p q r"), (9, "r s t"), (10, "Q r p"), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard.jaccard_join(df, shingle=1, percent=percent).collect()]
+    assert sorted(got, key=repr) == brute_groups(rows, 1, percent)
+
+
+def test_jaccard_of_common_words(spark, monkeypatch):
+    """Sets that share common elements but aren't similar make few pairs to verify."""
+    import random
+
+    rnd, verified = random.Random(7), []
+    plain = jaccard._verified
+
+    def counting(pairs, reps, percent):
+        verified.append(pairs.count())
+        return plain(pairs, reps, percent)
+
+    monkeypatch.setattr(jaccard, "_verified", counting)
+    rows = [(k, " ".join(f"c{rnd.randrange(60)}" for _ in range(30))) for k in range(400)] + [(1000, rows_ := " ".join(f"c{j}" for j in range(28))), (1001, rows_ + " c28")]
+    got = [tuple(r) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1, percent=85).collect()]
+    assert sorted(got, key=repr) == brute_groups(rows, 1, 85)
+    assert verified[1] < 500
+
+
+def test_spread_join(spark, monkeypatch):
+    """Hot keys are joined apart, with the same result."""
+    from ringfold.llm import common
+
+    left = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(100)] + [(None, 1000)], "key long, x long")
+    right = spark.createDataFrame([(k, k * 10) for k in (0, 1, 95, 96)], "key long, y long")
+    want = {how: sorted(map(repr, left.join(right, "key", how).collect())) for how in ("inner", "left")}
+    for rows, keys in ((5, 100), (5, 1), (1000, 100)):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        for how, rows_ in want.items():
+            assert sorted(map(repr, common.spread_join(left, right, "key", how).collect())) == rows_
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)).filter(lambda p: p[0] != p[1]), min_size=1, max_size=30))
 def test_components(spark, links):
@@ -427,6 +499,25 @@ def test_exact(spark, docs, none, keep):
     assert exact_dedup.content_sort(none).count() == 0
 
 
+def test_groups_over_ranges(spark):
+    """Groups of equal texts that lie in several ranges, between texts that begin alike: whole groups are told."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same = "the very same beginning of forty letters "
+        rows = [(k, same + ("COPY" if k % 3 else f"own {k % 50}")) for k in range(900)] + [(k, f"{k % 7}") for k in range(900, 950)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        groups = collections.defaultdict(list)
+        for i, t in rows:
+            groups[t.lower()].append(i)
+        want = {i: (min(ids), len(ids)) for ids in groups.values() for i in ids}
+        for n in ("1", "3", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.content_sort(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 # packing
 
 
@@ -484,6 +575,30 @@ def test_long_run_of_letters():
     assert len(e(x)) == 4 * len(e.tokenizer.encode(x, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("run", [packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1])
+def test_both_encoders(run):
+    """The two encoders give the same ids on either side of where one takes over from the other."""
+    e = packing.encoder(queries.public_tokenizer())
+    plain = " the words of a long text" * (packing.LONG_TEXT // 20)
+    for unit in ("ab", "x", "é漢", "=-", "7"):
+        x = plain + " " + (unit * run)[:run] + plain
+        slow = e.tokenizer.encode(x, add_special_tokens=False).ids
+        assert e.fast.encode_ordinary(x) == slow and len(e(x)) == 4 * len(slow)
+
+
+def test_rule_places_most_pieces():
+    """Without a bound on open windows the rule, not the end's cutting, places most pieces, and windows stay few."""
+    import random
+
+    rnd = random.Random(3)
+    p, ended, most = packing.Packer(1024, None, 0), 0, 0
+    for k in range(8000):
+        ended += len(list(p.add((k, 0, bytes(4 * min(1024, 1 + int(rnd.lognormvariate(5.5, 1)))), 0))))
+        most = max(most, p.count)
+    left = len(list(p.settle()))
+    assert ended > 0.85 * (ended + left) and most < 2000
+
+
 def test_sum_of_squares():
     """Each placement is the one with the least sum of squared counts of partial windows."""
     p = packing.Packer(10, 100, 0)
