@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.llm.common import kept, table, unused
+from ringfold.llm.common import discard, kept, table, unused
 from ringfold.llm.exact_dedup import content_sort
 from ringfold.llm.jaccard import jaccard_join
 from ringfold.llm.packing import pack
@@ -17,7 +17,9 @@ from ringfold.llm.toxicity import drop_toxic
 def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """docs with a number for each row, and its column's name. They are written, so that every later read has the same numbers."""
     row = unused("row", docs.columns)
-    return kept(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+    rows = kept(docs.withColumn(row, F.monotonically_increasing_id()), name)
+    discard(docs.sparkSession)  # what the stage before has shuffled
+    return rows, row
 
 
 def _one_each(docs: DataFrame, row: str, groups: DataFrame, name: str) -> DataFrame:

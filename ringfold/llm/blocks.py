@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered
+from .common import discard, lowered
 
 #: Words from which a block is closed; one document is never cut. Larger blocks send fewer messages and repeat fewer
 #: keys; a worker holds some 100 bytes a word. Corpora of many TB on large executors want more.
@@ -206,6 +206,7 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
 
     blocks = keep(rows.mapInArrow(write, _DOCS))
     told = keep(blocks.mapInArrow(send, _ASKED).groupBy("owner").applyInArrow(add_up, _TOLD))
+    discard(rows.sparkSession)  # what was asked
     if totals is not None:
         found = {r["kind"]: (r["kinds"], r["total"]) for r in told.groupBy((F.col("owner") / owners).cast("int").alias("kind")).agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total")).collect()}
         totals += [found.get(k, (0, 0)) for k in range(1 + max(found, default=0))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -35,12 +36,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already
             continue
 
@@ -51,7 +55,20 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path.rpartition("/")[0]
+    return out
+
+
+def discard(spark: SparkSession, tables: list[DataFrame] = []) -> None:  # noqa: B006
+    """Removes kept tables that no later step reads, and lets Spark remove the shuffle files of steps whose results are
+    written: it does so once the driver has collected their plans, which would otherwise wait for its memory to fill."""
+    for t in tables:
+        if (path := getattr(t, "scratch", None)) is not None:
+            _delete(spark, path)
+            _made[:] = [m for m in _made if m[1] != path]
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Rows of one key beyond which it is joined apart, and as many such keys as a task may hold.

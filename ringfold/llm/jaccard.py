@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_WORDS, Block, exchange, mix
-from .common import kept, spread_join, text_of
+from .common import discard, kept, spread_join, text_of
 from .components import components
 
 #: Words of a shingle, and the least Jaccard similarity in percent.
@@ -141,6 +141,7 @@ def similar_sets(reps: DataFrame, percent: int) -> DataFrame:
 
     named = lists.join(tied.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = kept(named, "named")
+    discard(reps.sparkSession, [lists, hubs])
     parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     open_ = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "root")).alias("main")).where("parts > 1")
     open_ = kept(open_.select("key", F.col("main.root").alias("main")), "open")
@@ -148,11 +149,14 @@ def similar_sets(reps: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
     members = named.join(open_, "key").join(reps.select("node", "bits"), "node").withColumn("band", band)
     members = kept(members, "members")
+    discard(reps.sparkSession, [named, open_])
     few = members.where("root <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     s, t = few.alias("s"), members.alias("t")
     across = s.join(t, (F.col("s.key") == F.col("t.key")) & (F.col("s.band") == F.col("t.band")) & (F.col("s.root") != F.col("t.root")) & ((F.col("t.root") == F.col("s.main")) | (F.col("s.node") < F.col("t.node"))) & _possible("s", "t", percent) & _few_differ("s", "t", percent))
     pairs = across.select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct()
-    return components(_verified(pairs, reps, percent).union(tied.select("node", "root")))
+    out = components(_verified(pairs, reps, percent).union(tied.select("node", "root")))
+    discard(reps.sparkSession, [reps, members, tied])
+    return out
 
 
 def _node(least: str, digest: str) -> Column:
@@ -236,7 +240,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SETS.split(", ")])
 
     # A row for each distinct set of a block, with the ids of all its documents there.
-    sets = kept(exchange(rows, ask, answer, _SETS, lambda df: kept(df, "counts"), block_words), "sets")
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.append(kept(df, "counts"))
+        return made[-1]
+
+    sets = kept(exchange(rows, ask, answer, _SETS, keep, block_words), "sets")
+    discard(docs.sparkSession, made)
     real = sets.where("digest is not null")
     groups = real.groupBy("digest").agg(F.min("least").alias("least"), F.sum(F.size("ids")).alias("size")).withColumn("node", _node("least", "digest"))
     groups = kept(groups, "groups")

@@ -175,7 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     ranked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [ranked.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]).select("doc_id", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(3)) == 0).alias("curve")))
-    rows = _one_of_copies(docs.join(chosen, "doc_id").persist())
+    labelled = docs.join(chosen, "doc_id").persist()
+    rows = _one_of_copies(labelled)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents by pair, word (no history: null) and in all (no word either), by class."""
@@ -212,6 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
         [(text(r["h"]), text(r["w"]), r["n0"], r["n1"]) for r in kept_pairs], sorted((text(r["h"]), r["n0"], r["n1"], r["f0"], r["f1"]) for r in histories),
     )
     values = _ratios(rows.where("curve").select("toxic", "text"), model).select("_passage", "toxic").collect()
+    labelled.unpersist()
     return model, calibrate([(r["_passage"], r["toxic"]) for r in values])
 
 
