@@ -189,6 +189,7 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
         for n in lens:
             told.append(pack_totals(mine[at : at + n]))
             at += n
+        pa.default_memory_pool().release_unused()  # groups differ in size, and a worker outlives them
         k = len(blocks)
         stats = [int((sums > 0).sum())] + [0] * (k - 1), [int(sums.sum())] + [0] * (k - 1)
         return pa.table([pa.array(blocks, pa.int64()), pa.array([owner] * k, pa.int32()), pa.array(told, pa.binary()), pa.array(lens, pa.int64()), pa.array(stats[0], pa.int64()), pa.array(stats[1], pa.int64())], names=["block", "owner", "told", "n", "kinds", "total"])
@@ -202,6 +203,7 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
                 kinds.setdefault(owner // owners, []).append(unpack_totals(told["told"][k].as_py(), n))
             totals_ = [np.concatenate(kinds[k]) if k in kinds else np.zeros(0, "<u4") for k in range(1 + max(kinds, default=-1))]
             out += answer(block, totals_)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, out[0].schema)
 
     blocks = keep(rows.mapInArrow(write, _DOCS))

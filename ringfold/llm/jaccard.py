@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,9 +86,9 @@ def _few_differ(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar. Pairs are dealt by a, and a's set is sent along;
-    a set that is in very many pairs as b is met without gathering them only if it is small enough to be
-    copied to each of them, so pairs name as a the node that fewer pairs have."""
+    """The pairs (a, b) of nodes whose whole sets are similar. The set of a goes along with the pair to the set of b.
+    Pairs name as b the node that more pairs have: these differ in a, and where they are too many for one task, the
+    adaptive skew join splits them and copies b's set to each part."""
     x = reps.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("elements").alias("x"))
     y = reps.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("elements").alias("y"))
     joined = kept(pairs, "pairs").join(x, "a").join(y, "b")
@@ -145,8 +146,8 @@ def similar_sets(reps: DataFrame, percent: int) -> DataFrame:
     parts = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
     open_ = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "root")).alias("main")).where("parts > 1")
     open_ = kept(open_.select("key", F.col("main.root").alias("main")), "open")
-    # Sizes that may pair are in the same band or in neighbouring ones, with width 100 / percent.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
+    # Sizes that may pair are in the same band or in neighbouring ones, whose width is a trifle more than 100 / percent.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.000001)).cast("int") if percent < 100 else F.col("n").cast("int")
     members = named.join(open_, "key").join(reps.select("node", "bits"), "node").withColumn("band", band)
     members = kept(members, "members")
     discard(reps.sparkSession, [named, open_])
