@@ -54,7 +54,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     recompute it nor depend on executors that may be lost."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path.rpartition("/")[0]
     return out
