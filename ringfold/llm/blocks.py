@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -143,10 +144,11 @@ def _owners(rows: DataFrame) -> int:
     return max(few, min(size // OWNER_BYTES, 1 << 14)) if size < 1 << 60 else few
 
 
-def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str, keep: Callable[[DataFrame], DataFrame], block_words: int = BLOCK_WORDS, totals: list | None = None) -> DataFrame:
+def exchange(rows: DataFrame, ask: Ask | list[Ask], answer: Callable[[Block, list[np.ndarray]], Iterator[pa.RecordBatch]], schema: str, keep: Callable[[DataFrame], DataFrame], block_words: int = BLOCK_WORDS, totals: list | None = None) -> DataFrame:
     """answer(block, corpus counts of the keys of each kind) for each block of rows (doc_id, text, flag).
 
-    keep materialises the blocks and the owners' answers. totals, if given, gets (distinct keys counted above 0,
+    Several asks, of one kind of key each, are asked and answered one after the other, so that the keys of one kind at a
+    time are under way. keep materialises the blocks and the owners' answers. totals, if given, gets (distinct keys counted above 0,
     sum of counts) of each kind before answer is called.
     """
     owners = _owners(rows)
@@ -158,10 +160,10 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
             row = ((TaskContext.get().partitionId() << 24) + k, *block.encode())
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=list(_BLOCK))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch], turn: int, ask: Ask) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, block in _decoded(b):
-                for kind, (keys, counts) in enumerate(ask(block)):
+                for kind, (keys, counts) in enumerate(ask(block), turn):
                     cut = [0, *np.searchsorted(keys, splits).tolist(), len(keys)]
                     out = []
                     for o in range(owners):
@@ -207,8 +209,13 @@ def exchange(rows: DataFrame, ask: Ask, answer: Callable[[Block, list[np.ndarray
         return pa.Table.from_batches(out, out[0].schema)
 
     blocks = keep(rows.mapInArrow(write, _DOCS))
-    told = keep(blocks.mapInArrow(send, _ASKED).groupBy("owner").applyInArrow(add_up, _TOLD))
-    discard(rows.sparkSession)  # what was asked
+    told = None
+    for turn, one in enumerate(ask if isinstance(ask, list) else [ask]):
+        asked = blocks.mapInArrow(partial(send, turn=turn, ask=one), _ASKED)
+        answers = keep(asked.groupBy("owner").applyInArrow(add_up, _TOLD))
+        told = answers if told is None else told.union(answers)
+        del asked
+        discard(rows.sparkSession)  # what was asked
     if totals is not None:
         found = {r["kind"]: (r["kinds"], r["total"]) for r in told.groupBy((F.col("owner") / owners).cast("int").alias("kind")).agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total")).collect()}
         totals += [found.get(k, (0, 0)) for k in range(1 + max(found, default=0))]

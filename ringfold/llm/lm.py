@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,22 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
+def _levels(hashes: np.ndarray, ends: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For n-grams of 1, 2, ... tokens: the key of the one that ends at each place, the places that have one, and
+    each place's number within its text."""
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    within = np.arange(len(hashes)) - np.repeat(starts, np.diff(ends, prepend=0))
+    at = hashes
+    for j in range(1, order + 1):
+        if j > 1:
+            before = np.empty_like(at)
+            before[1:] = at[:-1]
+            if j == 2:
+                before[starts] = START
+            at = mix(before, hashes)
+        yield at, np.flatnonzero(within >= j - 2), within
+
+
 class Grams:
     """A block's n-grams: of each length j the sorted distinct keys, and which one ends at each place.
 
@@ -44,18 +61,8 @@ class Grams:
     """
 
     def __init__(self, hashes: np.ndarray, ends: np.ndarray, order: int):
-        starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-        self.within = np.arange(len(hashes)) - np.repeat(starts, np.diff(ends, prepend=0))
         self.keys, self.where, self.which, self.first = [], [], [], []
-        at = hashes
-        for j in range(1, order + 1):
-            if j > 1:
-                before = np.empty_like(at)
-                before[1:] = at[:-1]
-                if j == 2:
-                    before[starts] = START
-                at = mix(before, hashes)
-            where = np.flatnonzero(self.within >= j - 2)
+        for at, where, self.within in _levels(hashes, ends, order):
             keys, first, which = np.unique(at[where], return_index=True, return_inverse=True)
             full = np.zeros(len(hashes), np.int64)
             full[where] = which
@@ -160,11 +167,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), (fold != held).cast("int").alias("flag"))
     totals: list[tuple[int, int]] = []
 
-    def ask(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
+    def ask(block: Block, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
         hashes, ends = tokens(block)
-        grams = Grams(hashes, ends, order)
         trained = np.repeat(block.flags, np.diff(ends, prepend=0)).astype(np.float64)
-        return [(k, np.bincount(which[where], trained[where], len(k)).astype(np.uint32)) for k, which, where in zip(grams.keys, grams.which, grams.where, strict=True)]
+        *_, (at, where, _) = _levels(hashes, ends, size)
+        keys, which = np.unique(at[where], return_inverse=True)
+        return [(keys, np.bincount(which, trained[where], len(keys)).astype(np.uint32))]
 
     def answer(block: Block, told: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         v, n = totals[0]
@@ -186,4 +194,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     # The totals are known before the last step's function is shipped.
-    return exchange(rows, ask, answer, _SCHEMA, lambda df: kept(df, "counts"), block_words, totals)
+    asks = [partial(ask, size=j) for j in range(1, order + 1)]
+    return exchange(rows, asks, answer, _SCHEMA, lambda df: kept(df, "counts"), block_words, totals)
