@@ -15,6 +15,9 @@ from .common import kept, remainder, text_of
 
 #: Words of the longest n-gram.
 ORDER = 2
+#: Words of a block, more than elsewhere: n-grams of three kinds repeat less between larger blocks, and a block's automaton
+#: takes some 250 bytes a word of a worker.
+SCORED_WORDS = 3 * BLOCK_WORDS
 #: Weight of the shorter history: as many imagined occurrences after each history, dealt as after the shorter one.
 PRIOR = 500.0
 #: Texts' bounds; no word has white space in it.
@@ -146,7 +149,7 @@ class Automaton:
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, prior: float | tuple[float, ...] = PRIOR, block_words: int = BLOCK_WORDS, order: int = ORDER) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, prior: float | tuple[float, ...] = PRIOR, block_words: int = SCORED_WORDS, order: int = ORDER) -> DataFrame:
     """Scores every whole text under an n-gram model of the texts whose crc32(id) modulo ``folds`` isn't ``held``.
 
     Tokens are lower-cased (A-Z) words and one end. P(w) = (c(w)+1) / (N+V+1); P(w | h) =
