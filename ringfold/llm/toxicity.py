@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,11 @@ PASSAGE = 4
 #: The score from which a document counts as toxic, the curve's steepness, and the ratio at which it
 #: reaches REJECT where labels can't tell.
 REJECT, STEEPNESS, FALLBACK = 0.7, 10.0, 1.0
+#: Bytes of the beginnings under which rare words are counted together, least and most, and how many times as large a beginning's
+#: share of one class's documents has to be as its share of the other's.
+BEGINNING, TELLING = (4, 12), 4
+#: Entries that a task counts before it hands them on.
+ENTRIES = 200_000
 #: Tokens whose ratios are worked out at once.
 TOKENS = 1 << 18
 #: Marks of a labelled document, each of as many least hashes of its three-word sequences; of documents that share one, one is learnt from.
@@ -42,6 +47,31 @@ def tokens(text: str | None) -> list[bytes]:
     return _WORD.findall(lowered(text))
 
 
+class Families:
+    """Rare words that begin alike are read as one: a word that few documents have in just this form, but many of one
+    class and few of the other in forms with the same beginning, proves as much as one word that they all have. What has
+    no such beginning stays itself, and so do all words that are known themselves."""
+
+    def __init__(self, known: Iterable[bytes] = (), telling: dict[bytes, float] | None = None):
+        """known: words beyond the discount; telling: how strongly a beginning parts the classes."""
+        self.telling = telling or {}
+        self.heads = {b[: BEGINNING[0]] for b in self.telling}
+        self.known = {w for w in known if w[: BEGINNING[0]] in self.heads}
+
+    def one(self, word: bytes) -> bytes:
+        found = [(self.telling[word[:k]], k) for k in range(BEGINNING[0], min(len(word), BEGINNING[1]) + 1) if word[:k] in self.telling]
+        # No token has a hyphen.
+        return word[: max(found)[1]] + b"-" if found and word not in self.known else word
+
+    def read(self, words: list[bytes]) -> list[bytes]:
+        heads, n = self.heads, BEGINNING[0]
+        return [self.one(w) if w[:n] in heads else w for w in words] if heads else words
+
+
+def beginnings(word: bytes) -> list[bytes]:
+    return [word[:k] for k in range(BEGINNING[0], min(len(word), BEGINNING[1]) + 1)]
+
+
 class Model:
     """The log-ratio of two Kneser-Ney bigram models, toxic (1) and ordinary (0).
 
@@ -56,10 +86,11 @@ class Model:
     So only words, histories and pairs beyond the discount are kept: as many as a few documents' words.
     """
 
-    def __init__(self, docs: tuple[int, int], words: Iterable[tuple[bytes, int, int, int]], mass: tuple[tuple[int, int], tuple[float, float]], kinds: int, pairs: Iterable[tuple[bytes, bytes, int, int]], histories: Iterable[tuple[bytes, int, int, float, float]], discount: tuple[float, float] = DISCOUNT, prior: float = PRIOR):
+    def __init__(self, docs: tuple[int, int], words: Iterable[tuple[bytes, int, int, int]], mass: tuple[tuple[int, int], tuple[float, float]], kinds: int, pairs: Iterable[tuple[bytes, bytes, int, int]], histories: Iterable[tuple[bytes, int, int, float, float]], discount: tuple[float, float] = DISCOUNT, prior: float = PRIOR, families: Families | None = None):
         """docs: documents by class; words: (word, n0, n1, continuations) beyond the discount in a class; mass: sums of
         n and of min(n, D) over all words, by class; kinds: distinct pairs; pairs: (h, w, n0, n1) beyond the
-        discount; histories: (h, n0, n1, sums of min(n, D)) of these."""
+        discount; histories: (h, n0, n1, sums of min(n, D)) of these; families: as what rare words are read."""
+        self.families = families or Families()
         self.discounts = discounts(docs, discount)
         total, freed = mass
         back = [freed[c] / total[c] if total[c] else 1.0 for c in (0, 1)]
@@ -92,6 +123,7 @@ class Model:
 
     def ratios(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """log P(toxic) - log P(ordinary) of each token of each text, given the token before it."""
+        texts = list(map(self.families.read, texts))
         lens = np.array([len(t) for t in texts], np.int64)
         at = np.fromiter((self.number.get(w, 0) for t in texts for w in t), np.int64, int(lens.sum()))
         ends = np.cumsum(lens)
@@ -165,10 +197,24 @@ def _one_of_copies(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(beaten), "doc_id", "left_anti")
 
 
+def _families(parts: DataFrame, sizes: tuple[int, int]) -> Families:
+    """parts: documents (n0, n1) of beginnings (h) and of words (w). A beginning tells if its shares of the two classes'
+    documents differ by more than both discounts, and TELLING times; that many have as many at most as documents have words, over the discount's share."""
+    if not min(sizes):
+        return Families()
+    d = discounts(sizes)
+    low, high, share = ([(F.col(f"n{c}") + x * d[c]) / F.lit(float(sizes[c])) for c in (0, 1)] for x in (-1, 1, 0))
+    more = [F.when(share[c] >= TELLING * share[1 - c], low[c] / high[1 - c]).otherwise(F.lit(0.0)) for c in (0, 1)]
+    found = parts.where("h is not null").select("h", F.greatest(*more).alias("tells")).where("tells > 1").collect()
+    known = parts.where("w is not null").where((F.col("n0") > d[0]) | (F.col("n1") > d[1])).select("w").collect()
+    return Families((bytes(r["w"]) for r in known), {bytes(r["h"]): r["tells"] for r in found})
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, float]:
     """Fits models and the cut on labelled documents: of each class the ``per_class`` ids of least hash, a bound on
     what is broadcast and gathered; of near copies among them one. The models learn from two thirds of them,
-    the cut from the rest. A word or pair counts once a document.
+    the cut from the rest. A word, beginning or pair counts once a document. Rare words are read by
+    their beginnings (see Families), which are learnt from the models' documents too.
 
     docs: doc_id, text; labels: doc_id, toxic, already without held-out rows.
     """
@@ -178,27 +224,44 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     labelled = docs.join(chosen, "doc_id").persist()
     rows = _one_of_copies(labelled)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents by pair, word (no history: null) and in all (no word either), by class."""
-        found: tuple[Counter, Counter] = (Counter(), Counter())
-        for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = tokens(text.as_py())
-                found[toxic].update({(None, None), *((None, w) for w in own), *zip([START, *own], own, strict=False)})
-        for c in (0, 1):
-            items = list(found[c].items())
-            for k in range(0, len(items), 50_000):
-                part = items[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([g[j] for g, _ in part], pa.binary()) for j in (0, 1)] + [pa.array([n if c == d else 0 for _, n in part], pa.int64()) for d in (0, 1)], names=["h", "w", "n0", "n1"])
-
-    counts = rows.where("not curve").select("toxic", "text").mapInArrow(count, "h binary, w binary, n0 long, n1 long").groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
-    all_ = counts.where("w is null").select("n0", "n1").first()
+    fitted = rows.where("not curve").select("toxic", "text")
+
+    def counted(own: Callable[[list[bytes]], set[tuple]]) -> DataFrame:
+        """Documents by the two parts of what own(tokens) has, by class."""
+
+        def part(found: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+            for c in (0, 1):
+                items = list(found[c].items())
+                for k in range(0, len(items), 50_000):
+                    some = items[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([g[j] for g, _ in some], pa.binary()) for j in (0, 1)] + [pa.array([n if c == d else 0 for _, n in some], pa.int64()) for d in (0, 1)], names=["h", "w", "n0", "n1"])
+                found[c].clear()
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: tuple[Counter, Counter] = (Counter(), Counter())
+            for b in batches:
+                for toxic, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    found[toxic].update(own(tokens(text.as_py())))
+                    if len(found[0]) + len(found[1]) >= ENTRIES:
+                        yield from part(found)
+            yield from part(found)
+
+        return fitted.mapInArrow(count, "h binary, w binary, n0 long, n1 long").groupBy("h", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
+
+    # Beginnings (as h), words, and documents in all (neither).
+    parts_ = counted(lambda own: {(None, None), *((None, w) for w in own), *((x, None) for w in set(own) for x in beginnings(w))})
+    all_ = parts_.where("h is null and w is null").select("n0", "n1").first()
     sizes = (all_["n0"], all_["n1"]) if all_ else (0, 0)
+    families = _families(parts_, sizes)
+    parts_.unpersist()
+    # Pairs, words (no history: null).
+    grams = lambda own: {*((None, w) for w in own), *zip([START, *own], own, strict=False)}
+    counts = counted(lambda own: grams(families.read(own)))
     d = discounts(sizes)
     # Counts beyond a discount are so many at most as documents have distinct words, over the discount's share.
     beyond = (F.col("n0") > d[0]) | (F.col("n1") > d[1])
     freed = [F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(d[c]))).alias(f"f{c}") for c in (0, 1)]
-    words, pairs = counts.where("h is null and w is not null"), counts.where("h is not null")
+    words, pairs = counts.where("h is null"), counts.where("h is not null")
     mass = words.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *freed).first()
     kept_words = words.where(beyond)
     follows = pairs.join(F.broadcast(kept_words.select("w")), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("before"))
@@ -210,7 +273,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     text = lambda x: bytes(x)
     model = Model(
         sizes, sorted((text(r["w"]), r["n0"], r["n1"], r["before"]) for r in known), ((mass["n0"] or 0, mass["n1"] or 0), (mass["f0"] or 0.0, mass["f1"] or 0.0)), kinds,
-        [(text(r["h"]), text(r["w"]), r["n0"], r["n1"]) for r in kept_pairs], sorted((text(r["h"]), r["n0"], r["n1"], r["f0"], r["f1"]) for r in histories),
+        [(text(r["h"]), text(r["w"]), r["n0"], r["n1"]) for r in kept_pairs], sorted((text(r["h"]), r["n0"], r["n1"], r["f0"], r["f1"]) for r in histories), families=families,
     )
     values = _ratios(rows.where("curve").select("toxic", "text"), model).select("_passage", "toxic").collect()
     labelled.unpersist()
@@ -266,6 +329,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Scores every document; doc_id, held_out, score (0 to 1), predicted (1 if score >= reject), and the
     log-likelihood ratios by length of the whole text and of its likeliest passage, whole and passage.
 
+    Words of many endings, each of them rare, are read by their beginnings (see Families).
     Two Kneser-Ney models, of toxic and of ordinary texts, give each word, after the word before it, a
     difference of log-likelihoods (see Model); all words of the whole text count. The sum over a passage of PASSAGE words,
     by its length, says how much likelier it is as a toxic one, and a text counts by its likeliest passage. (By

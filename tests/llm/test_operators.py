@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on texts with every awkward case."""
 
 import collections
+import itertools
 import hashlib
 import json
 import math
@@ -385,6 +386,23 @@ def test_toxicity_of_long_texts(spark):
     assert got[7000] == 1 and got[6000] == 0
 
 
+def test_toxicity_of_word_families(spark):
+    """Insults that take another ending in each text are found, though no form of them is frequent; words that are
+    frequent themselves, and beginnings that both classes have, aren't read by their beginnings."""
+    import random
+
+    rnd = random.Random(7)
+    ends = ["".join(e) for e in itertools.product("bdgmnprst", "aeiou", "klx")]
+    text = lambda: " ".join(rnd.choices(["house", "river", "quiet", "birds", "mills", "trees"], k=12) + ["common" + rnd.choice(ends)])
+    rows = [(i, text(), 0) for i in range(400)] + [(1000 + i, f"{text()} blorg{ends[i]} {text()}", 1) for i in range(len(ends))]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, f"{text()} blorgzzz {text()}"), (5001, text()), (5002, text().rpartition(" ")[0] + " commonzzz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(df, labels).collect()}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(got[i] == y for i, y in held) and (got[5000], got[5001], got[5002]) == (1, 0, 0)
+    assert toxicity.Families([b"blorgum"], {b"blor": 2.0, b"blorg": 3.0}).read([b"blorgum", b"blorgix", b"blorix", b"blo"]) == [b"blorgum", b"blorg-", b"blor-", b"blo"]
+
+
 def test_cut():
     assert toxicity.calibrate([]) == toxicity.calibrate([(0.3, 1)]) == toxicity.FALLBACK
     assert toxicity.calibrate([(k / 100, 0) for k in range(50)] + [(0.9, 1), (0.95, 1)]) == pytest.approx((0.49 + 0.9) / 2)
