@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Seconds that the driver's cleaner is given after a collection.
+PAUSE = 0.5
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -62,13 +66,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 def discard(spark: SparkSession, tables: list[DataFrame] = []) -> None:  # noqa: B006
     """Removes kept tables that no later step reads, and lets Spark remove the shuffle files of steps whose results are
-    written: it does so once the driver has collected their plans, which would otherwise wait for its memory to fill."""
+    written: it does so once the driver has collected their plans, which would otherwise wait for its memory to fill. A
+    first collection leaves the last plan, which is let go of only after it; so there are two, with time to clean up."""
     for t in tables:
         if (path := getattr(t, "scratch", None)) is not None:
             _delete(spark, path)
             _made[:] = [m for m in _made if m[1] != path]
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(PAUSE)
 
 
 #: Rows of one key beyond which it is joined apart, and as many such keys as a task may hold.

@@ -1,8 +1,8 @@
 """Each operator against a plain version of its contract, on texts with every awkward case."""
 
 import collections
-import itertools
 import hashlib
+import itertools
 import json
 import math
 import re
@@ -159,6 +159,31 @@ def test_totals_beyond_32_bits(spark):
 # near duplicates
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_answered_questions_leave_the_disk(spark):
+    """Before the blocks meet their answers, what they have asked is gone, and so is it before the next kind is asked."""
+    import numpy as np
+
+    from ringfold.llm import blocks, common
+
+    rows = spark.createDataFrame([(i, f"w{i % 7} v{i}", 1) for i in range(50)], "doc_id long, text string, flag int")
+    common.discard(spark)
+    before, left = shuffle_files(spark), []
+    ask = lambda block: [(np.unique(block.table), np.ones(len(block.table), np.uint32))]
+
+    def keep(df):
+        left.append(shuffle_files(spark) - before)
+        return common.kept(df, "counts")
+
+    out = blocks.exchange(rows, [ask, ask], lambda block, told: iter(()), "doc_id long", keep, block_words=20)
+    left.append(shuffle_files(spark) - before)
+    assert left == [set()] * 4 and out.columns == ["doc_id"]  # at the blocks, each kind's answers, and the end
+
+
 def brute_groups(rows, k, percent):
     sets = []
     for _, t in rows:
