@@ -21,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lowered
+from .common import discard, lowered, rows_at_once
 
 #: Words from which a block is closed; one document is never cut. Larger blocks send fewer messages and repeat fewer
 #: keys; a worker holds some 100 bytes a word. Corpora of many TB on large executors want more.
 BLOCK_WORDS = 1 << 18
 #: Estimated bytes of input for each owner of a kind of key: what an owner adds up at once follows it.
 OWNER_BYTES = 4 << 20
+#: Rows of whole texts that are sent to a worker at once: it reads one after the other, but JVM and worker hold all that are sent.
+ROWS = 256
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -208,7 +210,8 @@ def exchange(rows: DataFrame, ask: Ask | list[Ask], answer: Callable[[Block, lis
         pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, out[0].schema)
 
-    blocks = keep(rows.mapInArrow(write, _DOCS))
+    with rows_at_once(rows.sparkSession, ROWS):
+        blocks = keep(rows.mapInArrow(write, _DOCS))
     told = None
     for turn, one in enumerate(ask if isinstance(ask, list) else [ask]):
         asked = blocks.mapInArrow(partial(send, turn=turn, ask=one), _ASKED)

@@ -6,7 +6,8 @@ import atexit
 import gc
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Steps that run within send workers batches of as many rows at most; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(before, rows) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(spark: SparkSession, tables: list[DataFrame] = []) -> None:  # noqa: B006
     """Removes kept tables that no later step reads, and lets Spark remove the shuffle files of steps whose results are
     written: it does so once the driver has collected their plans, which would otherwise wait for its memory to fill. A

@@ -184,6 +184,31 @@ def test_answered_questions_leave_the_disk(spark):
     assert left == [set()] * 4 and out.columns == ["doc_id"]  # at the blocks, each kind's answers, and the end
 
 
+def test_texts_are_sent_in_small_batches(spark):
+    """Blocks are made from few texts at a time, and the session's setting comes back."""
+    import pyarrow as pa
+
+    from ringfold.llm import blocks, common
+
+    def sizes_of(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+
+    def keep(df):
+        seen.append(int(spark.conf.get(name)))
+        return common.kept(df, "counts")
+
+    rows = spark.createDataFrame([(1, "a b", 1)], "doc_id long, text string, flag int")
+    blocks.exchange(rows, lambda block: [], lambda block, told: iter(()), "doc_id long", keep)
+    assert seen == [blocks.ROWS, int(before)] and spark.conf.get(name) == before
+    with common.rows_at_once(spark, 10):
+        sizes = spark.range(95).coalesce(1).mapInArrow(sizes_of, "n long").collect()
+    assert sum(r.n for r in sizes) == 95 and max(r.n for r in sizes) <= 10
+
+
 def brute_groups(rows, k, percent):
     sets = []
     for _, t in rows:
