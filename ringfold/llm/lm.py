@@ -15,9 +15,10 @@ from .common import kept, remainder, text_of
 
 #: Words of the longest n-gram.
 ORDER = 2
-#: Words of a block, more than elsewhere: n-grams of three kinds repeat less between larger blocks, and a block's automaton
-#: takes some 250 bytes a word of a worker.
+#: Words of a block, more than elsewhere: n-grams of three kinds repeat less between larger blocks.
 SCORED_WORDS = 3 * BLOCK_WORDS
+#: Tokens for which an automaton is made at once: it takes some 250 bytes a token of a worker. No text is cut.
+WALKED = 1 << 17
 #: Weight of the shorter history: as many imagined occurrences after each history, dealt as after the shorter one.
 PRIOR = 500.0
 #: Texts' bounds; no word has white space in it.
@@ -180,21 +181,30 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def answer(block: Block, told: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         v, n = totals[0]
         hashes, ends = tokens(block)
-        grams = Grams(hashes, ends, order)
+        keys = [np.unique(at[where]) for at, where, _ in _levels(hashes, ends, order)]
         told = [*told, *(np.zeros(0, "<u4") for _ in range(order - len(told)))]
-        if any(len(k) != len(t) for k, t in zip(grams.keys, told, strict=True)):
+        if any(len(k) != len(t) for k, t in zip(keys, told, strict=True)):
             raise RuntimeError("a block has another number of n-grams than it has asked about")
-        counts = told[0].astype(np.float64)
-        log_root = np.log10((counts + 1) / (n + v + 1))
-        texts = counts[np.searchsorted(grams.keys[0], END)]
-        words = grams.which[0]
-        score = Automaton(grams, told, log_root, float(texts), priors).walk(words.tolist(), ends.tolist())
-        size = np.diff(ends, prepend=0)
-        columns = [
-            pa.array(block.doc_ids, pa.int64()), pa.array(block.flags == 0), pa.array(size), pa.array(sums((counts > 0)[words].astype(np.int64), ends)),
-            pa.array([n] * len(ends), pa.int64()), pa.array(sums(log_root[words], ends)), pa.array(score, pa.float64()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCHEMA.split(", ")])
+        texts = float(told[0][np.searchsorted(keys[0], END)])
+        first = 0
+        while first < len(ends):
+            # An automaton for some texts at a time, one at least.
+            start = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, start + WALKED, "right")))
+            own, at = ends[first:last] - start, hashes[start : int(ends[last - 1])]
+            grams = Grams(at, own, order)
+            counts = [t[np.searchsorted(k, g)] for k, t, g in zip(keys, told, grams.keys, strict=True)]
+            held_ = counts[0].astype(np.float64)
+            log_root = np.log10((held_ + 1) / (n + v + 1))
+            words = grams.which[0]
+            score = Automaton(grams, counts, log_root, texts, priors).walk(words.tolist(), own.tolist())
+            size = np.diff(own, prepend=0)
+            columns = [
+                pa.array(block.doc_ids[first:last], pa.int64()), pa.array(block.flags[first:last] == 0), pa.array(size), pa.array(sums((held_ > 0)[words].astype(np.int64), own)),
+                pa.array([n] * len(own), pa.int64()), pa.array(sums(log_root[words], own)), pa.array(score, pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCHEMA.split(", ")])
+            first = last
 
     # The totals are known before the last step's function is shipped.
     asks = [partial(ask, size=j) for j in range(1, order + 1)]

@@ -132,6 +132,39 @@ def test_lm_orders(docs, order, priors):
             assert sum(p(h, x) for x in vocabulary) + p(h, b"unseen") == pytest.approx(1)
 
 
+def test_lm_automata_are_small(spark, monkeypatch):
+    """However large a block is, an automaton holds some of its texts, and the scores stay the same."""
+    largest, made = [], lm.Automaton.__init__
+
+    def init(self, grams, *rest):
+        largest.append(len(grams.within))
+        made(self, grams, *rest)
+
+    monkeypatch.setattr(lm.Automaton, "__init__", init)
+    monkeypatch.setattr(lm, "exchange", lambda rows, asks, answer, *rest: answer_alone(asks, answer, rest[-1]))
+
+    def answer_alone(asks, answer, totals):
+        words = [b"w%d" % (i * i % 17) for i in range(600)]
+        names = sorted(set(words))
+        table = np.array([blocks.word_hash(w) for w in names], np.uint64)
+        lens = [5, 0, 300, 1, 94, 200]
+        block = blocks.Block(list(range(6)), np.ones(6, np.uint8), np.cumsum(lens), np.array([names.index(w) for w in words], np.int32), table)
+        counts = [ask(block)[0][1] for ask in asks]
+        totals += [(len(c), int(c.sum())) for c in counts]
+        return [r for b in answer(block, counts) for r in b.to_pylist()]
+
+    import numpy as np
+
+    from ringfold.llm import blocks
+
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    whole = lm.score_texts(docs, order=3, prior=(5.0, 2.0))
+    assert len(whole) == 6 and largest == [606]
+    monkeypatch.setattr(lm, "WALKED", 100)
+    assert lm.score_texts(docs, order=3, prior=(5.0, 2.0)) == whole
+    assert largest[1:] == [7, 301, 97, 201]
+
+
 def test_totals_beyond_32_bits(spark):
     """Blocks get corpus totals in full, though each block's own counts fit 32 bits."""
     import numpy as np
