@@ -165,6 +165,33 @@ def test_lm_automata_are_small(spark, monkeypatch):
     assert largest[1:] == [7, 301, 97, 201]
 
 
+def test_lm_walk_calls_nothing(spark, monkeypatch):
+    """A token costs no call: arcs are found by n-grams' numbers, not by lookups. Nor are a block's keys hashed to be sorted."""
+    import cProfile
+
+    import numpy as np
+
+    from ringfold.llm import blocks
+
+    called = {}
+
+    def answer_alone(rows, asks, answer, *rest):
+        rng = np.random.default_rng(7)
+        words = (rng.random(20_000) ** 3 * 2_000).astype(np.int32)
+        block = blocks.Block(list(range(40)), np.ones(40, np.uint8), np.arange(1, 41) * 500, words, rng.integers(1, 1 << 63, 2_000).astype(np.uint64))
+        told = [ask(block)[0][1] // np.uint32(2) for ask in asks]  # n-grams found once are unknown, so that states fail
+        rest[-1][:] = [(int((c > 0).sum()), int(c.sum())) for c in told]
+        profile = cProfile.Profile()
+        out = profile.runcall(lambda: list(answer(block, told)))
+        assert [len(b) for b in out] == [40]
+        called.update({str(e.code): e.callcount for e in profile.getstats()})
+
+    monkeypatch.setattr(lm, "exchange", answer_alone)
+    lm.score_texts(spark.createDataFrame([], "doc_id long, text string"), order=3, prior=(500.0, 50.0))
+    assert sum(called.values()) < 10_000, sorted(called.items(), key=lambda c: -c[1])[:3]
+    assert not [c for c in called if "unique_hash" in c]
+
+
 def test_totals_beyond_32_bits(spark):
     """Blocks get corpus totals in full, though each block's own counts fit 32 bits."""
     import numpy as np
