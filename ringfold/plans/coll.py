@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Name of the value column of a map whose value has no field names.
 VALUE = "value"
+#: Bytes for each task of a dealt probe, by the optimizer's estimate: for some columns of Parquet files 2 to 4 a row, so about a million rows.
+TASK_BYTES = 2 << 20
 
 
 class Cond:
@@ -93,7 +95,7 @@ class Lookup:
         self._index, self._keys, self._strict = index, keys, strict
         self._prefix = f"_look{number}_"
         self._read: set[str] = set()
-        self._flagged = self._optional = False
+        self._flagged = self._optional = self._dealt = False
 
     @property
     def found(self) -> Cond:
@@ -137,7 +139,10 @@ class Lookup:
         # Semi and anti joins don't mind repeated keys; a flag without a value needs each key once.
         if not idx.unique and self._optional and not self._read:
             right = right.dropDuplicates(list(names.values()))
-        if idx.small:
+        if self._dealt and not idx.null_keys and (n := _tasks(df.select(*self._keys), right)):
+            # Both sides are dealt out alike, so no executor needs a copy of one of them.
+            df, right = df.repartition(n, *self._keys), right.repartition(n, *names.values()).hint("merge")
+        elif idx.small:
             right = F.broadcast(right)
         if False in guards:
             return df.join(right, on, "left_anti")
@@ -315,11 +320,16 @@ class Coll:
             df = df.groupBy(*keys).agg(*least, once.alias("_once")).where("_once").drop("_once")
         return Coll(df, keys, list(names.values()), unique=checked, small=self.small)
 
-    def join_probe(self, index: Coll, key: str | Iterable[str], where: Callable[[Pair], Any] | None, body: Callable[[Lookup, Pair], Any]) -> Any:
-        """For each row that fulfils ``where`` and whose key is in the index: body(index value, row), added up."""
+    def join_probe(self, index: Coll, key: str | Iterable[str], where: Callable[[Pair], Any] | None, body: Callable[[Lookup, Pair], Any], dealt: bool = False) -> Any:
+        """For each row that fulfils ``where`` and whose key is in the index: body(index value, row), added up.
+
+        dealt: large inputs go by key to as many tasks as their size asks for. For keys with few rows each, where most of what
+        comes out is distinct, which a task holds at once: by the session's number of tasks each would hold more of a larger input.
+        """
         keys = [key] if isinstance(key, str) else list(key)
         p = Pair(self)
         hit = p.look(index, *(F.col(k) for k in keys))
+        hit._dealt = dealt
         first = Cond.of(where(p) if where else None) & hit.found
         out = body(hit, p)
         out.when = first & out.when
@@ -406,6 +416,21 @@ def _lower(coll: Coll, p: Pair, when: Cond) -> DataFrame:
     return df
 
 
+def _bytes(df: DataFrame) -> int:
+    """The optimizer's estimate, but no more than its inputs have: that of a join is their product."""
+    rows = df._jdf.queryExecution().optimizedPlan()
+    inputs = rows.collectLeaves()
+    of = lambda x: int(str(x.stats().sizeInBytes()))
+    return min(of(rows), sum(of(inputs.apply(i)) for i in range(inputs.size())))
+
+
+def _tasks(*sides: DataFrame) -> int:
+    """One for every TASK_BYTES of all sides; Spark makes it the session's number of shuffle partitions at least. 0 if Spark may
+    choose: for little input, or of unknown size, for which plans say the greatest long number."""
+    size = sum(map(_bytes, sides))
+    return min(-(-size // TASK_BYTES), 1 << 14) if TASK_BYTES <= size < 1 << 60 else 0
+
+
 class Both(tuple):
     """A record of a total and sums by key, whose fields are collections: ``total`` and ``groups``, or by place."""
 

@@ -317,7 +317,7 @@ def f10_dense(t, spark):
 def j1_repeated_keys(t, spark):
     """A probe of repeated keys gives each of their values, and doesn't claim that the result's keys are unique."""
     index = t.lineitem.join_build("l_orderkey", out=["l_suppkey"])
-    found = t.orders.join_probe(index, "o_orderkey", None, lambda v, p: emit({"o_orderkey": p.o_orderkey, "l_suppkey": v.l_suppkey}, unique=True))
+    found = t.orders.join_probe(index, "o_orderkey", None, lambda v, p: emit({"o_orderkey": p.o_orderkey, "l_suppkey": v.l_suppkey}, unique=True), dealt=True)
     return relalg.dom(found)
 
 

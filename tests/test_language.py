@@ -1,5 +1,7 @@
 """Corners of the language on hand-made rows, plans, and laws of the algebra."""
 
+from collections import Counter
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ringfold.functions import scalar as fn
 from ringfold.operators import relalg, semiring
+from ringfold.plans import coll, inventory
 from ringfold.plans.coll import Coll, both, emit, rec, scalar, vector
 from ringfold.plans.declared import Session, declared
 from ringfold.sources.bench import benchmark
@@ -157,6 +160,45 @@ def test_repeated_keys_are_not_claimed_unique(spark):
     assert left.sum(lambda p: emit({"k": p.k}, unique=True)).unique
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_tasks_of_repeated_keys_follow_the_input(spark, tmp_path, monkeypatch, request, broadcast):
+    """j1_repeated_keys over four times the input: four times the tasks, each with no more rows, and the rows of SQL."""
+    monkeypatch.setattr(coll, "TASK_BYTES", 4000, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    tasks, most = [], []
+    for n in (5_000, 20_000):
+        # Of every 10 orders one occurs twice and one has no lines; lines repeat, and there are null keys on both sides.
+        orders = spark.range(n).union(spark.range(0, n, 10)).select(F.col("id").alias("o_orderkey")).union(spark.sql("select cast(null as bigint)"))
+        lines = spark.range(4 * n).select((F.col("id") % n).alias("l_orderkey"), (F.col("id") % 3).alias("l_suppkey")).where("l_orderkey % 10 <> 1")
+        lines = lines.union(lines.where("l_orderkey % 7 = 0")).union(spark.sql("select cast(null as bigint), 1L union all select -1L, 1L"))
+        orders.write.parquet(str(tmp_path / f"{n}/orders.parquet"))
+        lines.write.parquet(str(tmp_path / f"{n}/lineitem.parquet"))
+        got = [(r.o_orderkey, r.l_suppkey, r.at) for r in inventory.QUERIES["j1_repeated_keys"](spark, str(tmp_path / str(n))).withColumn("at", F.spark_partition_id()).collect()]
+        want = {(i % n, i % 3) for i in range(4 * n) if i % n % 10 != 1}
+        assert sorted(r[:2] for r in got) == sorted(want)
+        rows = Counter(r[2] for r in got)
+        tasks, most = [*tasks, len(rows)], [*most, max(rows.values())]
+    assert tasks[1] >= 3 * tasks[0] and most[1] <= 1.3 * most[0]
+
+
+def test_dealt_probe(spark, monkeypatch):
+    """The same entries as otherwise: by several keys, with a condition, keys of other types, and null keys left out."""
+    right = spark.sql("select * from values ('a', 1, 10), ('a', 1, 11), ('b', 2, 12), (null, 3, 13) t(k, i, v)")
+    left = Coll(spark.sql("select * from values ('a', 1L), ('a', 1L), ('b', 2L), ('c', 2L), (null, 3L) t(k, i)"))
+    index = Coll(right).join_build(["k", "i"], out=["v"])
+    for size in (1, 1 << 40):
+        monkeypatch.setattr(coll, "TASK_BYTES", size)
+        found = left.join_probe(index, ["k", "i"], lambda p: p.i < 9, lambda v, p: emit({"k": p.k, "v": v.v}, {"n": 1}), dealt=True)
+        assert values(found) == [("a", 10, 2), ("a", 11, 2), ("b", 12, 1)]
+        assert ("REPARTITION_BY_NUM" in plan(found)) == (size == 1)
+    monkeypatch.setattr(coll, "TASK_BYTES", 8000)
+    rows = spark.range(100_000)  # 8 bytes each
+    assert coll._tasks(rows) == 100 and coll._tasks(rows, rows) == 200
+    assert coll._tasks(rows.join(rows.select(F.col("id").alias("j")), F.col("id") < F.col("j"))) == 200
+    assert coll._tasks(rows.limit(10)) == coll._tasks(spark.createDataFrame(rows.rdd)) == 0
+
+
 def test_nested_sums(spark):
     rows = Coll(spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 5)], "k string, i string, v long"), ["k", "i"], ["v"], unique=True)
     totals = rows.nest("i").sum(lambda p: emit({"k": p.k}, {"most": p.inner.sum(lambda q: scalar(q.v, when=q.v > 1))}, unique=True))
